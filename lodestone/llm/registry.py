@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .op8_counts import op8_token_counts
 from .op9_bpe import op9_bpe
 
 QUERIES = {
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
 }
 
