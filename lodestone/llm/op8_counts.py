@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, texts
 from .op9_bpe import byte_alphabet
 
-CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 400_000, 48, 1_000_000
+CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 600_000, 48, 1_000_000
 LIMIT = 2048
 #: The word rule of the vocabulary file's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER = 1 << 30
-#: Lower case that the library's newer Unicode tables have and Python's lack, with another byte length.
-NEWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+#: Sigma, and lower case that the library's newer Unicode tables have and Python's lack.
+FOLDS = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 
 
 class WordBpe:
@@ -66,14 +66,16 @@ class WordBpe:
         self.longest = max(map(len, [*self.open, *self.closed]))
         self.fits_memo: dict[int, bool] = {}
         self.cache: dict[str, int] = {}
-        # reverse tries by last byte would visit the same lengths; lengths in use by last byte cut most lookups
+        self.chunks: dict[str, int] = {}
+        self.controls = regex.compile("[\x1c-\x1f]")
+        # by the last two bytes (or the one byte), the lengths that tokens with this end have, longest first
         self.open_lengths, self.closed_lengths = self._lengths(self.open), self._lengths(self.closed)
 
     @staticmethod
     def _lengths(tokens: dict[bytes, int]) -> dict[bytes, list[int]]:
         found: dict[bytes, set[int]] = {}
         for raw in tokens:
-            found.setdefault(raw[-2:], set()).add(len(raw))
+            found.setdefault(raw[-2:], {1}).add(len(raw))
         return {k: sorted(v, reverse=True) for k, v in found.items()}
 
     def fits(self, u: int, v: int) -> bool:
@@ -114,34 +116,50 @@ class WordBpe:
             else:
                 j -= 1
 
-    def prefixes(self, word: bytes, upto: list[int] | None = None) -> list[int]:
-        """Closed counts of the prefixes of the given lengths (None: of every length from 0 on)."""
-        n = len(word)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        get, fits = self.open.get, self.fits
-        for i in range(1, n):
-            for size in self.open_lengths.get(word[max(0, i - 2) : i], ()) or self.open_lengths.get(word[i - 1 : i], ()):
+    def extend(self, word: bytes, last: list[int], count: list[int], upto: int) -> None:
+        """Last tokens and counts of the open prefixes up to this length; the lists hold those of shorter ones already."""
+        get, memo, lengths = self.open.get, self.fits_memo, self.open_lengths
+        for i in range(len(last), upto + 1):
+            for size in lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or lengths[word[i - 1 : i]]:
                 if size <= i:
                     t = get(word[i - size : i])
-                    if t is not None and (size == i or fits(last[i - size], t)):
-                        last[i], count[i] = t, count[i - size] + 1
-                        break
-            else:
-                t = self.open[word[i - 1 : i]]
-                last[i], count[i] = t, count[i - 1] + 1
-        found = []
-        for i in range(n + 1) if upto is None else upto:
-            if i == 0:
-                found.append(0)
-                continue
-            for size in self.closed_lengths.get(word[max(0, i - 2) : i], ()):
-                if size <= i:
-                    t = self.closed.get(word[i - size : i])
-                    if t is not None and (size == i or fits(last[i - size], t)):
-                        found.append(count[i - size] + 1)
-                        break
-            else:
-                found.append(count[i - 1] + 1)
+                    if t is not None:
+                        if size == i:
+                            break
+                        u = last[i - size]
+                        fit = memo.get(u << 20 | t)
+                        if self.fits(u, t) if fit is None else fit:
+                            break
+            last.append(t)
+            count.append(count[i - size] + 1)
+
+    def close(self, word: bytes, last: list[int], count: list[int], i: int) -> int:
+        """Tokens of the closed prefix of length i > 0, from the open ones."""
+        for size in self.closed_lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or self.closed_lengths[word[i - 1 : i]]:
+            if size <= i:
+                t = self.closed.get(word[i - size : i])
+                if t is not None and (size == i or self.fits(last[i - size], t)):
+                    return count[i - size] + 1
+        raise AssertionError("a byte with the end mark always fits")
+
+    def prefixes(self, word: bytes, upto: list[int] | None = None) -> list[int]:
+        """Closed counts of the prefixes of the given lengths (None: of every length from 0 on)."""
+        last, count = [-1], [0]
+        self.extend(word, last, count, len(word) - 1)
+        return [self.close(word, last, count, i) if i else 0 for i in (range(len(word) + 1) if upto is None else upto)]
+
+    def count_words(self, words: set[str]) -> dict[str, int]:
+        """Counts of distinct words. In sorted order a word takes over the open prefixes that it shares with the one before."""
+        found, last, count, before = {}, [-1], [0], b""
+        for raw, word in sorted((w.encode(), w) for w in words):
+            n, k = len(raw), 0
+            most = min(n, len(last)) - 1
+            while k < most and raw[k] == before[k]:
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            self.extend(raw, last, count, n - 1)
+            found[word] = self.close(raw, last, count, n)
+            before = raw
         return found
 
     def word_count(self, word: str) -> int:
@@ -155,23 +173,58 @@ class WordBpe:
                 self.cache[word] = known
         return known
 
+    @staticmethod
+    def fold(text: str) -> str:
+        """NFC and lower case as in the library, which has no rule for a final sigma."""
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        for a, b in FOLDS:
+            text = text.replace(a, b)
+        return text.lower()
+
     def normalise(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(NEWER)  # no rule for a final sigma in the library
-        return self.spaces.sub(" ", text).lower()
+        return self.fold(self.spaces.sub(" ", text))
 
     def segments(self, text: str) -> list[str]:
         """Text between special strings."""
         return self.cut.split(text) if "<|" in text else [text]
 
-    def count(self, text: str) -> int:
+    def chunks_of(self, text: str) -> tuple[list[str], int]:
+        """Chunks of the normalised text without white space, and how many special strings the text holds."""
         parts = self.segments(text)
-        total, cache, count = len(parts) - 1, self.cache, self.word_count
+        chunks: list[str] = []
         for part in parts:
-            for w in self.findall(part.lower() if part.isascii() else self.normalise(part)):  # words hold no white space
-                known = cache.get(w)
-                total += count(w) if known is None else known
-        return total
+            part = self.fold(part)
+            # Python splits at these controls, the word rule doesn't; words hold no white space, so any split at it will do
+            chunks += self.spaces.split(part) if self.controls.search(part) else part.split()
+        return chunks, len(parts) - 1
+
+    def count_batch(self, batch: list[str]) -> list[int]:
+        """Token counts of whole texts."""
+        split = [self.chunks_of(t) for t in batch]
+        cache = self.chunks
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        new = {c for chunks, _ in split for c in chunks if c not in cache}
+        words = {c: self.findall(c) for c in new}
+        fresh = self.count_words({w for own in words.values() for w in own if w not in self.cache})
+        self.cache.update((w, n) for w, n in fresh.items() if len(w) <= CACHE_CHARS)
+        get = self.cache.get
+        added = {c: sum([fresh[w] if w in fresh else get(w) for w in own]) for c, own in words.items()}
+        keep = len(cache) + len(added) <= 2 * CACHE_WORDS
+        if keep:
+            cache.update((c, n) for c, n in added.items() if len(c) <= CACHE_CHARS)
+            added = {c: n for c, n in added.items() if len(c) > CACHE_CHARS}
+        if not added:
+            return [sum(map(cache.__getitem__, chunks)) + n for chunks, n in split]
+        return [sum([added[c] if c in added else cache[c] for c in chunks]) + n for chunks, n in split]
+
+    def count(self, text: str) -> int:
+        return self.count_batch([text])[0]
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token counts at the prefixes of 0 to n code points of the normalised text without special strings."""
@@ -229,7 +282,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", te
         bpe = coder(path)
         for batch in slices(batches):
             rows = texts(batch)
-            counts = [bpe.count(t) for t in rows]
+            counts = bpe.count_batch(rows)
             cuts = [bpe.cut_within(bpe.normalise(t), limit) if n > limit and len(bpe.segments(t)) == 1 else None for t, n in zip(rows, counts, strict=True)]
             sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             columns = [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(cuts, pa.int64())]
