@@ -7,6 +7,7 @@ from .op1_packing import op1_packing
 from .op2_quality import op2_quality
 from .op3_simhash import op3_simhash
 from .op5_chat import op5_chat
+from .op7_lattice import op7_lattice
 from .op8_counts import op8_token_counts
 from .op9_bpe import op9_bpe
 from .op10_pii import op10_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_chat": op5_chat,
     "op6_topk": topk.op6_topk,
+    "op7_lattice": op7_lattice,
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
