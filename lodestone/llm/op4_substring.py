@@ -1,6 +1,6 @@
 """Op 4: fuzzy repeated passages by collinear chaining.
 
-Seeds are minimizers: of each eight consecutive five-word shingles the one that hashes lowest, so any run of twelve equal
+Seeds are minimizers: of each four consecutive five-word shingles the one that hashes lowest, so any run of eight equal
 words shares a seed. A seed's occurrence links to the first one (least doc_id) of its batch, and each batch's first to the
 first of all, so a seed in m documents makes about m matches, never m squared, and sends one entry per batch.
 
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, table, texts
 
-WORDS, WINDOW = 5, 8
+WORDS, WINDOW = 5, 4
 #: Fewest words of a passage: those of 50 words whose edits near their ends go unmatched still count.
 MIN_WORDS, SIMILARITY = 40, 0.8
 #: A chain breaks at a longer gap between seeds; words that a span takes along on each side for its extension.
-MAX_GAP, MARGIN = 24, 16
+MAX_GAP, MARGIN = 30, 16
 #: A chain's gain for a seed, its cost for a word of a gap (mean of both sides), and the fewest seeds and words it has.
 GAIN, GAP_COST, MIN_SEEDS, MIN_CHAIN = 5.0, 0.25, 2, 10
 #: Words between two chains of a document that a merged stretch may hold.
@@ -79,7 +79,7 @@ def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     wide = np.full(len(at) + (len(sizes) + 1) * (WINDOW - 1) + 1, NONE)
     wide[slot] = h
     least = wide.copy()
-    for k in (1, 2, 4):
+    for k in (1, 2):
         least[:-k] = np.minimum(least[:-k], least[k:])
     picked = np.zeros(len(wide), bool)
     for k in range(WINDOW):
