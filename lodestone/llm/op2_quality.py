@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2500
 BUCKETS = 1 << 14
 FAMILIES = 3
 KEEP_AT = 0.5
@@ -92,33 +92,32 @@ def sparse_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(value)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 80, rate: float = 0.3, l2: float = 1e-5) -> Model | None:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-5) -> Model | None:
     """Logistic regression by Adam over all rows at once; every fourth row is held back for the calibration."""
     held = np.arange(len(labels)) % 4 == 3
     if len(set(labels[~held].tolist())) < 2:
         return None
     flat = np.concatenate([i for i, _ in rows])
     data = np.concatenate([v for _, v in rows])
-    starts = np.r_[0, np.cumsum([len(i) for i, _ in rows])]
-    of = np.repeat(np.arange(len(rows)), np.diff(starts))
-    train = ~held[of]
-    f_t, d_t, o_t = flat[train], data[train], of[train]
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    rows.clear()
+    n = len(labels)
     y = labels.astype(float)
-    w, b = np.zeros(FAMILIES * BUCKETS), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    w, b = np.zeros(FAMILIES * BUCKETS, np.float32), 0.0
+    m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     balance = np.where(y > 0, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * (~held)
     for step in range(1, rounds + 1):
-        z = np.bincount(o_t, w[f_t] * d_t, len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        gw, gb = np.bincount(f_t, g[o_t] * d_t, len(w)) + l2 * w, g.sum()
+        z = np.bincount(of, w[flat] * data, n) + b
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance  # none for the rows held back
+        gw, gb = np.bincount(flat, g.astype(np.float32)[of] * data, len(w)) + l2 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        w -= scale * m / (np.sqrt(v) + 1e-9)
+        w = (w - scale * m / (np.sqrt(v) + 1e-9)).astype(np.float32)
         b -= scale * mb / (np.sqrt(vb) + 1e-9)
-    z = np.bincount(of, w[flat] * data, len(rows)) + b
+    z = np.bincount(of, w[flat] * data, n) + b
     slope, offset = platt(z[held], y[held]) if len(set(y[held].tolist())) == 2 else (1.0, 0.0)
-    return Model(w.astype(np.float32), b, slope, offset)
+    return Model(w, b, slope, offset)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -159,8 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model
 
     found = sample.select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, at binary, value binary").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.at))
-    rows = [(np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(float)) for r in found]
-    return fit(rows, np.array([r.quality for r in found])) if rows else None
+    labels_of = np.array([r.quality for r in found])
+    rows = [(np.frombuffer(r.at, "<u4").astype(np.int32), np.frombuffer(r.value, "<f4")) for r in found]
+    del found
+    return fit(rows, labels_of) if rows else None
 
 
 def score_batch(rows: list[str], model: Model | None) -> dict[str, list]:
