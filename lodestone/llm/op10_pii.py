@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
@@ -280,13 +281,13 @@ def redact(text: str, spans: dict[str, list[Span]]) -> str:
     return "".join(out)
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
-    """id, counts of base spans, base_sha256, spans; with `redacted` the redacted text, with `keep` these columns of docs."""
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """id, counts of base spans, base_sha256, spans; with `keep` also `redacted`, the text with each span replaced, and
+    `document`, a struct of docs' columns."""
     shared = docs.sparkSession.sparkContext.broadcast(train())  # some forty small trees
-    extra = [c for c in keep or [] if c not in (id_col, text_col)]
-    kinds = dict(docs.dtypes)
-    schema = f"`{id_col}` {kinds[id_col]}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
-    schema += "".join(f", `{c}` {kinds[c]}" for c in extra) + f", `{text_col}` string" * redacted
+    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[F.struct(*(docs[c] for c in docs.columns)).alias("document")] * keep)
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
+    schema += f", redacted string, document {dict(chosen.dtypes)['document']}" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -294,14 +295,18 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
             got = [all_spans(t, shared.value) for t in rows]
             columns = [batch.column(0), *(pa.array([len(b[k]) for b, _ in got], pa.int64()) for k in KINDS)]
             columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([joined(s) for _, s in got], pa.string())]
-            names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-            columns += [batch.column(2 + i) for i in range(len(extra))]
-            if redacted:
-                was_null = batch.column(1).is_null().to_pylist()
-                columns.append(pa.array([None if n else redact(t, s) for t, (_, s), n in zip(rows, got, was_null, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names + extra + [text_col] * redacted)
-
-    return docs.select(docs[id_col], docs[text_col].alias("text"), *(docs[c] for c in extra)).mapInArrow(run, schema)
+            if keep:
+                null = batch.column(1).is_null().to_pylist()
+                columns += [pa.array([None if n else redact(t, s) for t, (_, s), n in zip(rows, got, null, strict=True)], pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *["redacted", "document"] * keep])
+
+    return chosen.mapInArrow(run, schema)
+
+
+def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents with their columns, personal data replaced in the text."""
+    found = pii(docs, id_col, text_col, keep=True)
+    return found.select(*(F.col("redacted").alias(c) if c == text_col else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,28 +194,28 @@ def score_batch(rows: list[str], model: Model | None) -> dict[str, list]:
     return out
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, the base counts, base_failed, probability and kept; with `keep`, also these columns of docs."""
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """id, the base counts, base_failed, probability and kept; with `keep`, also `document`, a struct of docs' columns."""
     model = train(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # FAMILIES x BUCKETS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES x BUCKETS weights
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    extra = [c for c in keep or [] if c not in (id_col, text_col)]
-    kinds = dict(docs.dtypes)
-    schema = f"`{id_col}` {kinds[id_col]}, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, probability double, kept boolean"
-    schema += "".join(f", `{c}` {kinds[c]}" for c in extra) + (f", `{text_col}` string" if keep else "")
+    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[F.struct(*(docs[c] for c in docs.columns)).alias("document")] * keep)
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, probability double, kept boolean"
+    schema += f", document {dict(chosen.dtypes)['document']}" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = score_batch(texts(batch), shared.value)
             columns = [batch.column(0), *(pa.array(got[c], pa.int64()) for c in counts), pa.array(got["base_failed"], pa.bool_()), pa.array(got["probability"], pa.float64()), pa.array(got["kept"], pa.bool_())]
-            names = [id_col, *counts, "base_failed", "probability", "kept"]
-            columns += [batch.column(2 + i) for i in range(len(extra))]
-            if keep:
-                columns.append(batch.column(1))
-            yield pa.RecordBatch.from_arrays(columns, names + extra + [text_col] * bool(keep))
+            columns += [batch.column(2)] * keep
+            yield pa.RecordBatch.from_arrays(columns, [id_col, *counts, "base_failed", "probability", "kept", *["document"] * keep])
 
-    return docs.select(docs[id_col], docs[text_col].alias("text"), *(docs[c] for c in extra)).mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that pass, with their columns."""
+    return quality(docs, labels, id_col, text_col, keep=True).where("kept").select("document.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, table, texts
@@ -114,5 +114,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays: the one with the least id, of rows that share it the first in order of all
+    columns. Rows with a null id are left alone."""
+    known = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(known.select(id_col, text_col), id_col, text_col)
+    keepers = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(id_col)).distinct()
+    order = Window.partitionBy(id_col).orderBy(*(F.xxhash64(c) for c in docs.columns))
+    name = "row_" + "_".join(docs.columns)
+    first = known.join(keepers, id_col, "left_semi").withColumn(name, F.row_number().over(order)).where(F.col(name) == 1)
+    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -373,22 +373,24 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of all but the first document that has them. Documents that nothing is left of go."""
     spans = found.groupBy("doc_id", "passage_start", "passage_end").count().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("passage_start", "passage_end"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("cut_id"), "spans")
-    joined = docs.join(spans, docs[id_col].cast("bigint") == spans["cut_id"], "left").drop("cut_id")
-    names, at = joined.columns, joined.columns.index(text_col)
+    spans = spans.select(F.col("doc_id").alias("cut_id"), "spans")  # bounded by the document's length
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("document"))
+    joined = rows.join(spans, rows["id"] == spans["cut_id"], "left").select("text", "spans", "document")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, rows = [], []
-            for k, (text, own) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist(), strict=True)):
-                left = cut(text, [(s["passage_start"], s["passage_end"]) for s in own]) if own else text
-                if not own or left.strip():
-                    kept.append(k)
-                    rows.append(left)
-            taken = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()) if i == at else batch.column(i).take(taken) for i in range(len(names) - 1)], names[:-1])
-
-    return joined.mapInArrow(run, docs.schema)
+            kept, left = [], []
+            for k, (text, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own and text is not None:
+                    text = cut(text, [(s["passage_start"], s["passage_end"]) for s in own])
+                    if not text.strip():
+                        continue
+                kept.append(k)
+                left.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), batch.column(2).take(pa.array(kept, pa.int64()))], ["text", "document"])
+
+    done = joined.mapInArrow(run, f"text string, document {dict(joined.dtypes)['document']}")
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("document").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
