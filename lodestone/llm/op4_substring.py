@@ -292,7 +292,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """doc_id, ref_doc_id, start, end, ref_start, ref_end, similarity, passage_start, passage_end: the aligned chains that
     make up each repeated passage; an earlier document (smaller doc_id) is the reference."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket of seeds sends a row to each bucket of documents
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc"), docs[text_col].alias("text")).where("doc is not null and text is not null")
 
     def match(rows: pa.Table) -> pa.Table:
