@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1200
 BUCKETS = 1 << 14
 FAMILIES = 3
 KEEP_AT = 0.5
