@@ -207,7 +207,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         for batch in slices(batches):
             got = score_batch(texts(batch), shared.value)
             columns = [batch.column(0), *(pa.array(got[c], pa.int64()) for c in counts), pa.array(got["base_failed"], pa.bool_()), pa.array(got["probability"], pa.float64()), pa.array(got["kept"], pa.bool_())]
-            columns += [batch.column(2)] * keep
+            if keep:
+                columns.append(batch.column(2))
             yield pa.RecordBatch.from_arrays(columns, [id_col, *counts, "base_failed", "probability", "kept", *["document"] * keep])
 
     return chosen.mapInArrow(run, schema)
