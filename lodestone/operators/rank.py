@@ -61,7 +61,8 @@ def combined(bm25: DataFrame, ranks: DataFrame, alpha: float = RANKING.alpha) ->
 
 
 def age_days(ts: Column, as_of: str = AS_OF) -> Column:
-    return F.greatest(F.timestamp_diff("DAY", ts, F.lit(as_of).cast("timestamp")), F.lit(0))
+    days = F.timestamp_diff("DAY", ts, F.lit(as_of).cast("timestamp"))
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(0)))
 
 
 def freshness(pages: DataFrame, as_of: str = AS_OF, p: Ranking = RANKING) -> DataFrame:
