@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: shared storage, bounded batches and word rules."""
+"""What the operators of this subpackage share: tables, bounded batches and texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,39 +9,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir
+
+__all__ = ["BATCH_BYTES", "id_text", "materialise", "shared_dir", "slices", "table", "texts"]
+
 #: Text bytes that a Python worker handles at a time; a longer text makes a batch of its own.
 BATCH_BYTES = 8 << 20
 
-A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back.
-
-    Cuts lineage and fixes what a partition-dependent step has made: a lost executor leads to a read, not to a new run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column` at most, or one row."""
     for batch in batches:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -126,8 +127,8 @@ def split_matches(doc, pos, ref, ref_pos, buckets: int) -> tuple[list[int], list
     order = np.lexsort((pos, doc, bucket))
     columns = [doc[order].astype("<i8"), pos[order].astype("<u4"), ref[order].astype("<i8"), ref_pos[order].astype("<u4")]
     ids, starts = np.unique(bucket[order], return_index=True)
-    stops = [*starts[1:].tolist(), len(order)]
-    return ids.tolist(), [pack(*(c[a:b] for c in columns)) for a, b in zip(starts.tolist(), stops, strict=True)]
+    edges = [*starts.tolist(), len(order)]
+    return ids.tolist(), [pack(*(c[a:b] for c in columns)) for a, b in pairwise(edges)]
 
 
 def link(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +156,9 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")  # within a bucket still by hash
             columns = [h[order].astype("<u8"), doc[order].astype("<i8"), pos[order].astype("<u4")]
             own, starts = np.unique(bucket[order], return_index=True)
-            stops = [*starts[1:].tolist(), len(order)]
+            edges = [*starts.tolist(), len(order)]
             ids += own.tolist()
-            data += [pack(*(c[a:b] for c in columns)) for a, b in zip(starts.tolist(), stops, strict=True)]
+            data += [pack(*(c[a:b] for c in columns)) for a, b in pairwise(edges)]
             kinds += [0] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int8()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
 
