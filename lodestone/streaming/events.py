@@ -65,6 +65,11 @@ class LiveIndex:
     def take(self, batch: DataFrame, epoch: int = 0) -> None:
         self.postings = materialise(without_pages(self.postings, batch).unionByName(postings(batch)), "live")
 
+    def follow(self, stream: DataFrame) -> None:
+        """Takes all that a stream of pages (page_id, title, body_text) has, micro-batch by micro-batch."""
+        base = f"{shared_dir(stream.sparkSession)}/follow-{uuid.uuid4().hex}"
+        stream.writeStream.foreachBatch(self.take).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+
     def drop(self, pages: DataFrame) -> None:
         self.postings = materialise(without_pages(self.postings, pages), "live")
 
