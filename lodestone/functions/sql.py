@@ -1,6 +1,6 @@
 """SQL text that Spark and DuckDB read alike, and the few places where they differ.
 
-Marks in such text: R'...' is a raw pattern; RX(x, R'p', 's') replaces all matches; MATCH(x, R'p') searches; DAYS(a, b) is
+Marks in such text: R'...' is a raw pattern; RX(x, R'p', 's') replaces all matches; MATCH(x, R'p') searches; ENDS(x, 's') tests an end; DAYS(a, b) is
 whole days from a to b; EPOCH(t) is whole seconds; AGG(x, sep, order) joins strings of a group; WORDS(x) is a list of words, JOINED and SORTED work on lists, FLAT makes rows
 of one; STR is the string type.
 """
@@ -36,6 +36,7 @@ def render(text: str, dialect: str) -> str:
     spark = dialect == SPARK
     text = _calls(text, "RX", lambda x, p, s: f"regexp_replace({x}, {p}, {s})" if spark else f"regexp_replace({x}, {p}, {s}, 'g')")
     text = _calls(text, "MATCH", lambda x, p: f"regexp_like({x}, {p})" if spark else f"regexp_matches({x}, {p})")
+    text = _calls(text, "ENDS", lambda x, e: f"endswith({x}, {e})" if spark else f"ends_with({x}, {e})")
     text = _calls(text, "DAYS", lambda a, b: f"timestampdiff(DAY, {a}, {b})" if spark else f"datesub('day', {a}, {b})")
     text = _calls(text, "EPOCH", lambda t: f"unix_timestamp({t})" if spark else f"cast(floor(epoch({t})) as bigint)")
     text = _calls(text, "AGG", lambda x, sep, order: f"listagg({x}, {sep}) within group (order by {order})" if spark else f"string_agg({x}, {sep} order by {order})")

@@ -19,7 +19,7 @@ VOWEL = "R'[aeiou]'"
 
 
 def _ends(suffix: str, w: str = "w") -> str:
-    return f"right({w}, {len(suffix)}) = '{suffix}'"
+    return f"ENDS({w}, '{suffix}')"
 
 
 def _cut(n: int, w: str = "w") -> str:
@@ -46,7 +46,7 @@ def stem_layers(dialect: str) -> list[str]:
         f"case when {_ends('eed')} then case when MATCH({_cut(3)}, {ABOVE_0}) then {_cut(1)} else w end"
         f" when {_ends('ed')} then case when MATCH({_cut(2)}, {VOWEL}) then {_cut(2)} || {mark} else w end"
         f" when {_ends('ing')} and MATCH({_cut(3)}, {VOWEL}) then {_cut(3)} || {mark} else w end",
-        f"case when right(w, 1) <> {mark} then w"
+        f"case when not ENDS(w, {mark}) then w"
         f" when right({bare}, 2) in ('at', 'bl', 'iz') then {bare} || 'e'"
         f" when {_doubled(bare)} and right({bare}, 1) not in ('l', 's', 'z') then {_cut(2)}"
         f" when MATCH({bare}, {ABOVE_0}) and not MATCH({bare}, {ABOVE_1}) and MATCH({bare}, {CVC}) then {bare} || 'e' else {bare} end",
@@ -83,12 +83,21 @@ def duck_stems(source: str) -> str:
 _KEEP = f"x not in ({quoted(STOPWORDS)}) and length(x) between 2 and 30 and (not MATCH(x, R'^[0-9]+$') or MATCH(x, R'^(19|20)[0-9][0-9]$'))"
 
 
-def tokens(text: Column | str) -> Column:
-    """Words of a text that are indexed, before stemming, in order."""
+def words(text: Column | str) -> Column:
+    """All words of a text in lower case, seasons reduced to their year."""
     col = F.col(text) if isinstance(text, str) else text
     season = F.regexp_replace(F.lower(col), r"\b(\d{4})[/\-]\d{2}\b", "$1")
-    words = F.split(F.trim(F.regexp_replace(season, r"[^a-z0-9\s]", " ")), r"\s+")
-    return F.filter(words, lambda x: ~x.isin(STOPWORDS) & F.length(x).between(2, 30) & (~x.rlike("^[0-9]+$") | x.rlike("^(19|20)[0-9][0-9]$")))
+    return F.split(F.trim(F.regexp_replace(season, r"[^a-z0-9\s]", " ")), r"\s+")
+
+
+def indexed(word: Column) -> Column:
+    """Whether a word is indexed."""
+    return ~word.isin(STOPWORDS) & F.length(word).between(2, 30) & (~word.rlike("^[0-9]+$") | word.rlike("^(19|20)[0-9][0-9]$"))
+
+
+def tokens(text: Column | str) -> Column:
+    """Words of a text that are indexed, before stemming, in order."""
+    return F.filter(words(text), indexed)
 
 
 def duck_tokens(text: str) -> str:

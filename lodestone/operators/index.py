@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stemmed, tokens
+from ..functions.text import indexed, stemmed, tokens, words
 
 
 def postings(pages: DataFrame) -> DataFrame:
@@ -13,9 +13,9 @@ def postings(pages: DataFrame) -> DataFrame:
 
     Fields are exploded together, stemmed in the same stage, and summed by one shuffle with partial sums before it.
     """
-    both = F.array(F.struct(F.lit(True).alias("title"), tokens("title").alias("ws")), F.struct(F.lit(False).alias("title"), tokens("body_text").alias("ws")))
-    words = pages.select("page_id", F.explode(both).alias("f")).select("page_id", F.col("f.title").alias("in_title"), F.explode("f.ws").alias("word"))
-    counted = words.groupBy("page_id", "word").agg(F.count("*").alias("n"), F.count_if("in_title").alias("t"))
+    both = F.array(F.struct(F.lit(True).alias("title"), words("title").alias("ws")), F.struct(F.lit(False).alias("title"), words("body_text").alias("ws")))
+    found = pages.select("page_id", F.explode(both).alias("f")).select("page_id", F.col("f.title").alias("in_title"), F.explode("f.ws").alias("word")).where(indexed(F.col("word")))
+    counted = found.groupBy("page_id", "word").agg(F.count("*").alias("n"), F.count_if("in_title").alias("t"))
     return (
         stemmed(counted, "word", "term").groupBy("page_id", "term")
         .agg(F.sum("n").alias("term_freq"), F.sum("t").alias("title_freq"), F.sum(F.col("n") - F.col("t")).alias("body_freq"))

@@ -26,23 +26,35 @@ def edges(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(known, links["target_url"] == known["url"]).select(F.col("source_id").alias("s"), "t").join(pages.select(F.col("page_id").alias("s")), "s", "left_semi").distinct()
 
 
-def pagerank(nodes: DataFrame, graph: DataFrame, damping: float = RANKING.damping, iterations: int = RANKING.iterations, every: int = 3) -> DataFrame:
-    """page_id, score after a fixed number of rounds. Each round is one join and one sum by target; the mass of pages
-    without links comes from the total, which stays 1. Lineage is cut every few rounds."""
+def pagerank(nodes: DataFrame, graph: DataFrame, damping: float = RANKING.damping, iterations: int = RANKING.iterations, every: int = 5) -> DataFrame:
+    """page_id, score after a fixed number of rounds.
+
+    Edges are dealt out by source once and kept so, so a round shuffles ranks and sums only, and returns one number to the
+    driver: the mass of pages without links. Every few rounds ranks are written, which bounds what a loss can cost.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("page_id", F.lit(0.0).alias("score"))
     outs = graph.groupBy("s").agg(F.count("*").alias("o"))
     weighted = materialise(graph.join(outs, "s").select(F.col("s").alias("page_id"), "t", (1.0 / F.col("o")).alias("share")), "edges")
     linking = materialise(nodes.join(outs.select(F.col("s").alias("page_id"), F.lit(True).alias("links")), "page_id", "left").select("page_id", F.coalesce("links", F.lit(False)).alias("links")), "nodes")
-    ranks = linking.withColumn("score", F.lit(1.0 / n))
+    weighted, linking = weighted.repartition("page_id").persist(), linking.repartition("page_id").persist()
+    ranks, kept = linking.withColumn("score", F.lit(1.0 / n)), []
     for i in range(1, iterations + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("links"), F.col("score"))), F.lit(0.0)).alias("loose"))
-        got = weighted.join(ranks.select("page_id", "score"), "page_id").groupBy("t").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        joined = linking.join(got.withColumnRenamed("t", "page_id"), "page_id", "left").join(F.broadcast(loose))  # loose: one row
-        ranks = joined.select("page_id", "links", ((1 - damping) / n + damping * F.col("loose") / n + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if i % every == 0 and i < iterations:
+        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("links"), F.col("score"))), F.lit(0.0))).first()[0]
+        got = weighted.join(ranks.select("page_id", "score"), "page_id").groupBy(F.col("t").alias("page_id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        score = (1 - damping) / n + damping * loose / n + damping * F.coalesce("got", F.lit(0.0))
+        ranks = linking.join(got, "page_id", "left").select("page_id", "links", score.alias("score"))
+        if i == iterations or i % every == 0:
             ranks = materialise(ranks, "ranks")
+            for old in kept:
+                old.unpersist()
+            kept = []
+        else:
+            kept.append(ranks.persist())
+            ranks = kept[-1]
+    weighted.unpersist()
+    linking.unpersist()
     return ranks.select("page_id", "score")
 
 

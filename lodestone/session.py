@@ -14,6 +14,8 @@ def build_session(app: str = "lodestone", cores: int | None = None, **conf: str)
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
+        .config("spark.sql.files.minPartitionNum", str(n))  # a small file still feeds all cores
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
