@@ -39,7 +39,7 @@ MAX_GAP, MARGIN = 30, 16
 GAIN, GAP_COST, MIN_SEEDS, MIN_CHAIN = 5.0, 0.25, 2, 10
 #: Words between two chains of a document that a merged stretch may hold.
 BRIDGE = 8
-BATCH_TEXT = 16 << 20
+BATCH_TEXT = 8 << 20
 WORD = re.compile("[^\x20\x09-\x0d]+")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
