@@ -84,10 +84,11 @@ _KEEP = f"x not in ({quoted(STOPWORDS)}) and length(x) between 2 and 30 and (not
 
 
 def words(text: Column | str) -> Column:
-    """All words of a text in lower case, seasons reduced to their year."""
+    """All words of a text in lower case, seasons reduced to their year. What isn't a-z or 0-9 separates words."""
     col = F.col(text) if isinstance(text, str) else text
-    season = F.regexp_replace(F.lower(col), r"\b(\d{4})[/\-]\d{2}\b", "$1")
-    return F.split(F.trim(F.regexp_replace(season, r"[^a-z0-9\s]", " ")), r"\s+")
+    low = F.lower(col)
+    season = F.when(low.rlike("[0-9][/-][0-9]"), F.regexp_replace(low, r"\b(\d{4})[/\-]\d{2}\b", "$1")).otherwise(low)
+    return F.split(season, "[^a-z0-9]+")  # may begin and end with an empty word
 
 
 def indexed(word: Column) -> Column:

@@ -20,6 +20,9 @@ def build_session(app: str = "lodestone", cores: int | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # the stemmer's generated code is longer than what the JVM compiles by default; set it for executors, too
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.driver.memory", os.environ.get("LODESTONE_DRIVER_MEMORY", "6g"))
     )
     for key, value in conf.items():
