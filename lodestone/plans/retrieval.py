@@ -485,6 +485,40 @@ def _i20(c):
     return rows.select("id", F.size(F.slice("ws", 1, 2)).cast("bigint").alias("n"), F.exists("ws", lambda x: x == "view").alias("has_view"), chars.alias("chars"))
 
 
+@query("h3_stopword_union", f"select word, length(word) as n from (select unnest([{quoted(fixed.STOPWORDS)}]) as word)")
+def _h3(c):
+    return c.spark.range(1).select(F.explode(F.array(*(F.lit(w) for w in fixed.STOPWORDS))).alias("word")).select("word", F.length("word").cast("bigint").alias("n"))
+
+
+plain("j32_cache_ttl", f"""
+    select cache_key, id from (select cache_key, id, created_at, row_number() over (partition by cache_key order by created_at desc, id desc) as rn from (
+        select JOINED(SORTED(WORDS(lower(query))), ' ') as cache_key, id, created_at from t_log) k) x where rn = 1 and created_at > {NOW} - INTERVAL '24' HOUR""")
+plain("l3_snapshot", _RELATIONAL["a22_snapshot"])
+plain("l15_search_endpoint", f"select h.qid, h.slot, h.url, {R6('h.final')} as final, n.total_results from t_results h join (select qid, count(*) as total_results from t_ranked group by qid) n on n.qid = h.qid")
+
+
+@query("l16_overview", f"select qid, context from ({ORACLES['j30_overview_context']}) o where qid in (select qid from t_bm25 group by qid having count(*) >= 3)")
+def _l16(c):
+    enough = c.t_bm25.groupBy("qid").count().where("count >= 3")
+    return _context(c).join(enough, "qid", "left_semi")
+
+
+@query("l11_embed_query")
+def _l11(c):
+    asked = c.table("t_queries").select(F.col("qid").alias("chunk_id"), F.col("query").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    return rag.embedded(asked).select(F.col("chunk_id").alias("qid"), F.posexplode("embedding").alias("i", "x")).select("qid", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("l14_sports_lookup", f"""
+    with t(name, id, k) as (values {_map(fixed.TEAMS)}), l(name, id, k) as (values {_map(fixed.LEAGUES)}), a(kind, name) as (values ('matches', 'arsenal'), ('matches', 'nobody'), ('standings', 'epl'), ('standings', 'la liga'), ('standings', 'arsenal'))
+    select a.kind, a.name, case when a.kind = 'matches' then t.id else l.id end as id, case when a.kind = 'matches' then t.id else l.id end is null as unknown from a left join t on t.name = a.name left join l on l.name = a.name""")
+def _l14(c):
+    rows = c.spark.createDataFrame([("matches", "arsenal"), ("matches", "nobody"), ("standings", "epl"), ("standings", "la liga"), ("standings", "arsenal")], "kind string, name string")
+    ids = F.when(F.col("kind") == "matches", F.get(F.transform(F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i in fixed.TEAMS.items())), lambda x: x["n"] == F.col("name")), lambda x: x["i"]), F.lit(0)))
+    ids = ids.otherwise(F.get(F.transform(F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i in fixed.LEAGUES.items())), lambda x: x["n"] == F.col("name")), lambda x: x["i"]), F.lit(0)))
+    return rows.select("kind", "name", ids.alias("id"), ids.isNull().alias("unknown"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
