@@ -365,6 +365,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
     for start, end in spans:
+        if start >= len(places):  # the span is of another row under the same id
+            break
         out.append(text[at : places[start][0]])
         at = places[end][0] if end < len(places) else len(text)
     out.append(text[at:])

@@ -156,7 +156,7 @@ def test_op4_cut(spark):
         if i in later:
             words = words[: later[i]] + words[later[i] + 55 :]
         assert left[i].split() == words
-    assert op4_substring.cut("a b\nc d", [(1, 3)]) == "a d" and op4_substring.cut("a b", [(0, 2)]) == ""
+    assert op4_substring.cut("a b\nc d", [(1, 3)]) == "a d" and op4_substring.cut("a b", [(0, 2)]) == "" and op4_substring.cut("a b", [(1, 5), (7, 9)]) == "a "
 
 
 def test_op4_edges(odd_documents, no_documents):
