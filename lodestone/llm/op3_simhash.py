@@ -7,6 +7,10 @@ fingerprint has its home at the nearest anchor and visits every anchor within co
 
 Equal fingerprints are one node, so copies are never expanded. No words: fingerprint zero, linked like any other. Null text
 is empty. A null doc_id keeps its row; a component of null ids only has a null id.
+
+The pipeline's stage (one_of_each) has wider bounds: it links texts of five-word Jaccard 0.8 or more as well. Candidates
+share a band of four minimal hashes, 20 bands (a pair at 0.8 shares one but once in 38,000 times), and are compared by
+their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import op4_substring
 from .common import materialise, slices, table, texts
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
 CHUNK = 1 << 14
+#: The stage's link rule and its bands of minimal hashes.
+JACCARD, BANDS, ROWS = 0.8, 20, 4
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -103,23 +110,111 @@ def links(nodes: DataFrame, name: str = "links") -> DataFrame:
     return homes.join(visits, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS)).select("u", "v")
 
 
+def _rooted(prints: DataFrame, id_col: str) -> DataFrame:
+    """fp, least, root: each fingerprint with its least id and the least fingerprint that links reach."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    roots = components(links(nodes), "simhash").withColumnsRenamed({"node": "fp"})
+    return nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id, the least id that links reach."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = components(links(nodes), "simhash").withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, id_col)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- the pipeline's stage ---------------------------------------------------------------------------------------------
+
+
+def words_key(text: str) -> int:
+    """A digest of a text's words."""
+    n = xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()), SEED + 1)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def bands(rows: list[str]) -> list[list[int]]:
+    """For each text its bands of minimal hashes of five-word shingles; none for a text of fewer words."""
+    h, which, _ = op4_substring.shingles(*op4_substring.word_hashes(rows))
+    out: list[list[int]] = [[] for _ in rows]
+    if not len(h):
+        return out
+    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    mixers = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS, 2), np.uint64)
+    found = np.empty((len(starts), BANDS), np.uint64)
+    for i in range(BANDS):
+        band = np.full(len(starts), i, np.uint64)
+        for salt, factor in mixers[i]:
+            band = op4_substring.mix(band) + np.minimum.reduceat((h ^ salt) * (factor | np.uint64(1)), starts)
+        found[:, i] = op4_substring.mix(band)
+    for i, own in zip(which[starts].tolist(), found.view(np.int64).tolist(), strict=True):
+        out[i] = own
+    return out
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp, key of the words, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = texts(batch)
+            fps = np.array([fingerprint(t.encode()) for t in rows], np.uint64).view(np.int64)
+            keys = pa.array([words_key(t) for t in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), keys, pa.array(bands(rows), pa.list_(pa.int64()))], [id_col, "fp", "key", "bands"])
+
+    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp bigint, key bigint, bands array<bigint>")
+
+
+def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Edges (u, v) between the roots of texts of Jaccard JACCARD or more that have different roots."""
+    one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")).join(rooted.select("fp", "root"), "fp")
+    spread = materialise(one.select("key", "root", F.explode("bands").alias("band")), "bands")
+    live = spread.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
+    left = spread.join(live, "band", "left_semi")
+    right = left.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    pairs = left.join(right, "band").where("root < other_root").select("key", "root", "other", "other_root").distinct()
+    pairs = materialise(pairs, "pairs")
+    wanted = materialise(pairs.select("key").union(pairs.select("other")).distinct(), "wanted")
+    ids = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(id_col).alias(id_col)).select(id_col).distinct()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = texts(batch)
+            h, which, _ = op4_substring.shingles(*op4_substring.word_hashes(rows))
+            edges = np.searchsorted(which, np.arange(len(rows) + 1))
+            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([words_key(t) for t in rows], pa.int64()), pa.array(sets, pa.binary())], ["key", "words"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, a, b = (batch.column(i) for i in range(4))
+            good = []
+            for x, y in zip(a, b, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= JACCARD * large - 1e-9 else 0
+                good.append(both >= JACCARD * (len(x) + len(y) - both) - 1e-9)
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
+
+    chosen = docs.select(docs[id_col], docs[text_col].alias("text")).join(ids, id_col, "left_semi").select("text")
+    sets = materialise(chosen.mapInArrow(pack, "key bigint, words binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+    other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
+    met = pairs.join(sets, "key").join(other, "other").select("root", "other_root", "words", "other_words")
+    return met.mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: the one with the least id, of rows that share it the first in order of all
-    columns. Rows with a null id are left alone."""
+    """One document of each component of both link rules stays: the one with the least id, of rows that share it the first
+    in order of all columns. Rows with a null id are left alone."""
     known = docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(known.select(id_col, text_col), id_col, text_col)
-    keepers = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(id_col)).distinct()
+    prints = materialise(sketches(known, id_col, text_col), "sketches")
+    rooted = materialise(_rooted(prints, id_col), "rooted")
+    wider = components(alike(known, prints, rooted, id_col, text_col), "alike").select(F.col("node"), F.col("root").alias("wide"))
+    found = rooted.join(wider, rooted["root"] == wider["node"], "left")
+    keepers = found.groupBy(F.coalesce("wide", "root").alias("component")).agg(F.min("least").alias(id_col)).select(id_col).distinct()
     order = Window.partitionBy(id_col).orderBy(*(F.xxhash64(c) for c in docs.columns))
     name = "row_" + "_".join(docs.columns)
     first = known.join(keepers, id_col, "left_semi").withColumn(name, F.row_number().over(order)).where(F.col(name) == 1)

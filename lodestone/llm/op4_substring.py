@@ -66,8 +66,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and word position of each text's seeds, each hash once a text (where it is first)."""
+def shingles(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and word position of all runs of five words of each text."""
     n = np.maximum(sizes - WORDS + 1, 0)
     which = np.repeat(np.arange(len(sizes)), n)
     position = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -75,9 +75,14 @@ def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     h = np.zeros(len(at), np.uint64)
     for k in range(WORDS):
         h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k]
-    h = np.minimum(mix(h), NONE - np.uint64(1))
-    slot = np.arange(len(at)) + which * (WINDOW - 1)  # between texts stand places that no window picks
-    wide = np.full(len(at) + (len(sizes) + 1) * (WINDOW - 1) + 1, NONE)
+    return np.minimum(mix(h), NONE - np.uint64(1)), which, position
+
+
+def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and word position of each text's seeds, each hash once a text (where it is first)."""
+    h, which, position = shingles(hashes, sizes)
+    slot = np.arange(len(h)) + which * (WINDOW - 1)  # between texts stand places that no window picks
+    wide = np.full(len(h) + (len(sizes) + 1) * (WINDOW - 1) + 1, NONE)
     wide[slot] = h
     least = wide.copy()
     for k in (1, 2):

@@ -79,6 +79,26 @@ def test_one_of_each(odd_documents, no_documents):
     assert op3_simhash.one_of_each(no_documents).count() == 0
 
 
+def test_one_of_each_wide(spark):
+    """Five-word Jaccard of 0.8 links in the stage, whatever the fingerprints' bits, and nothing below does."""
+    rng = random.Random(12)
+    rows, sets = [], []
+    for _ in range(40):
+        words = sentence(rng, 300).split()
+        for _ in range(2):
+            copy = list(words)
+            for k in rng.sample(range(300), rng.randint(1, 5)):
+                copy[k] = f"z{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(copy)))
+            sets.append({tuple(copy[i : i + 5]) for i in range(296)})
+    near = {(i, i + 1) for i in range(0, 80, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    bits = [(slow_print(rows[i][1]) ^ slow_print(rows[j][1])).bit_count() for i, j in near]
+    assert sum(b > 2 for b in bits) > 3 and len(near) < 40
+    gone = {j for i, j in near} | {i + 1 for i in range(0, 80, 2) if (slow_print(rows[i][1]) ^ slow_print(rows[i + 1][1])).bit_count() <= 2}
+    kept = op3_simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert {r.doc_id for r in kept.collect()} == set(range(80)) - gone
+
+
 def slow_edits(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a):
