@@ -2,13 +2,15 @@
 
 Seeds are minimizers: of each four consecutive five-word shingles the one that hashes lowest, so any run of eight equal
 words shares a seed. A seed's occurrence links to the first one (least doc_id) of its batch, and each batch's first to the
-first of all, so a seed in m documents makes about m matches, never m squared, and sends one entry per batch.
+first of all, so a seed that stands at m places makes about m matches, never m squared, and sends one entry per batch. Later
+occurrences in a text also link to the first one and to the one before in that text, so a passage that stands twice in a
+document is found at its second place.
 
 The matches of a document with another are chained: in order on both sides, a gap costs its words on either side, best
 predecessors come from a Fenwick tree over positions in the other document. Chains are aligned over all their words (edit
 distance on words), kept from a similarity of 0.8 on, and extended to both sides. What a document's chains cover, whatever
 their sources, is merged; a merged stretch of MIN_WORDS or more is a repeated passage. So a document's passage is reported
-against earlier documents, and the first document that has it stays whole.
+against earlier documents, or against an earlier place of its own document, and the first place that has it stays.
 
 Words are runs without ASCII white space, A-Z lower-cased; positions count words, ends are exclusive. Null texts have no
 words. Rows with a null doc_id are left alone. Rows with equal doc_ids count as one document.
@@ -79,7 +81,7 @@ def shingles(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and word position of each text's seeds, each hash once a text (where it is first)."""
+    """Hash, text number and word position of each text's seeds, by hash, text and position."""
     h, which, position = shingles(hashes, sizes)
     slot = np.arange(len(h)) + which * (WINDOW - 1)  # between texts stand places that no window picks
     wide = np.full(len(h) + (len(sizes) + 1) * (WINDOW - 1) + 1, NONE)
@@ -93,9 +95,7 @@ def minimizers(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = picked[slot]
     h, which, position = h[keep], which[keep], position[keep]
     order = np.lexsort((position, which, h))
-    h, which, position = h[order], which[order], position[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (which[1:] != which[:-1])][: len(h)]
-    return h[first], which[first], position[first]
+    return h[order], which[order], position[order]
 
 
 # --- packed columns ---------------------------------------------------------------------------------------------------
@@ -142,6 +142,15 @@ def link(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, n
     return first, np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
 
 
+def own_links(h: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For seeds sorted by hash, text and position: pairs of a later occurrence and the first, or the one before, in its text."""
+    first = np.r_[True, (h[1:] != h[:-1]) | (which[1:] != which[:-1])][: len(h)]
+    later = np.flatnonzero(~first)
+    of = np.flatnonzero(first)[np.cumsum(first) - 1][later] if len(h) else later
+    more = of != later - 1
+    return np.r_[later, later[more]], np.r_[of, later[more] - 1]
+
+
 def seeds(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, kind, data): kind 0 seeds by hash, kind 1 matches inside the batch by document."""
 
@@ -150,11 +159,13 @@ def seeds(docs: DataFrame, buckets: int) -> DataFrame:
             hashes, sizes = word_hashes(texts(batch))
             h, which, pos = minimizers(hashes, sizes)
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[which]
-            order = np.lexsort((pos, doc, h))
-            h, doc, pos = h[order], doc[order], pos[order]
+            order = np.lexsort((pos, which, doc, h))
+            h, which, doc, pos = h[order], which[order], doc[order], pos[order]
             first, of = link(h, doc, pos)
-            later = ~first & (doc != doc[of])
-            ids, data = split_matches(doc[later], pos[later], doc[of][later], pos[of][later], buckets)
+            later = np.flatnonzero(~first & (doc != doc[of]))
+            again, before = own_links(h, which)
+            later, of = np.r_[later, again], np.r_[of[later], before]
+            ids, data = split_matches(doc[later], pos[later], doc[of], pos[of], buckets)
             kinds = [1] * len(ids)
             h, doc, pos = h[first], doc[first], pos[first]
             bucket = bucket_of(h, buckets)
@@ -296,7 +307,7 @@ def align(a: list[int], start: int, end: int, b: list[int], ref_start: int, ref_
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, ref_doc_id, start, end, ref_start, ref_end, similarity, passage_start, passage_end: the aligned chains that
-    make up each repeated passage; an earlier document (smaller doc_id) is the reference."""
+    make up each repeated passage; an earlier document (smaller doc_id), or an earlier place of the same, is the reference."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket of seeds sends a row to each bucket of documents
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc"), docs[text_col].alias("text")).where("doc is not null and text is not null")
@@ -356,7 +367,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     aligned = aligned.mapInArrow(finish, "doc bigint, ref bigint, start bigint, end bigint, ref_start bigint, ref_end bigint, similarity double")
     aligned = materialise(aligned, "aligned")
 
-    # a document has two matches a seed at most, so its chains are bounded by its own length
+    # a document has four matches a seed's place at most, so its chains are bounded by its own length
     by_start = Window.partitionBy("doc").orderBy("start", "end", "ref", "ref_start")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     marked = aligned.withColumn("new", (reach.isNull() | (F.col("start") > reach + BRIDGE)).cast("int")).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
@@ -379,7 +390,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of all but the first document that has them. Documents that nothing is left of go."""
+    """docs with repeated passages cut out of all but the first place that has them. Documents that nothing is left of go."""
     spans = found.groupBy("doc_id", "passage_start", "passage_end").count().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("passage_start", "passage_end"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("cut_id"), "spans")  # bounded by the document's length
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("document"))

@@ -179,6 +179,21 @@ def test_op4_cut(spark):
     assert op4_substring.cut("a b\nc d", [(1, 3)]) == "a d" and op4_substring.cut("a b", [(0, 2)]) == "" and op4_substring.cut("a b", [(1, 5), (7, 9)]) == "a "
 
 
+def test_op4_twice_in_a_document(spark):
+    """A passage's second place in a document is found, whether or not an earlier document has it; a tandem repeat too."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    p, q, r, tandem = text(60), text(55), text(80), text(7)
+    rows = [[*text(30), *p, *text(30)], [*text(20), *p, *text(40), *p, *text(9)], [*text(50), *q, *text(70), *q, *text(60), *q], [*r, *r], [*text(10), *tandem * 12, *text(10)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    found = op4_substring.passages(docs)
+    got = {(x.doc_id, x.passage_start, x.passage_end) for x in found.collect()}
+    assert got == {(1, 20, 80), (1, 120, 180), (2, 175, 230), (2, 290, 345), (3, 80, 160), (4, 17, 94)}
+    assert all(x.ref_doc_id < x.doc_id or x.ref_start < x.start for x in found.collect())
+    left = {x.doc_id: x.text.split() for x in op4_substring.without_passages(docs, found).collect()}
+    assert left[2] == rows[2][:175] + rows[2][230:290] and left[3] == r and left[0] == rows[0]
+
+
 def test_op4_edges(odd_documents, no_documents):
     found = op4_substring.passages(odd_documents)
     assert {66, 67} <= {r.doc_id for r in found.collect()} or len(dict(rows_of(odd_documents))[7].split()) < 40
