@@ -1,7 +1,8 @@
 """Op 10: personal data by gradient boosting over candidate spans.
 
 Base rules find e-mail addresses, IPv4 addresses, card and phone numbers; their spans always stay. Generators of high
-recall propose further spans that may overlap (digit runs with any separators, defanged addresses, spelt-out e-mail).
+recall propose further spans that may overlap (all group-aligned parts of 7 to 19 digits of each digit run with any
+separators, also beside a base span; defanged addresses, spelt-out e-mail).
 Boosted trees score each from its format and the words before it; per kind a threshold, calibrated on examples held back,
 selects. A selected span that overlaps a base span or a better one goes.
 
@@ -28,6 +29,8 @@ from .common import slices, table, texts
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 SEED = 11
+#: Candidates that are scored at a time.
+CHUNK = 1 << 12
 
 Span = tuple[int, int]
 
@@ -82,7 +85,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # --- candidates -------------------------------------------------------------------------------------------------------
 
-RUN = re.compile(r"\(?(?<![0-9])[0-9]{1,19}(?:[ ()./-]{1,3}[0-9]{1,19}){0,7}(?![0-9])")
+RUN = re.compile(r"[0-9]+(?:[ ()./-]{1,3}[0-9]+)*")
+GROUP = re.compile("[0-9]+")
+NEAR_BEFORE, NEAR_AFTER = re.compile(r"[0-9][ ()./-]{1,3}$"), re.compile(r"[ ()./-]{1,3}[0-9]")
 DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9])")
 SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:[\[({]\s?(?:at|AT|@)\s?[\])}]|\s(?:at|AT)\s|@)\s{0,2}[A-Za-z0-9-]{1,63}(?:\s{0,2}(?:[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|\s(?:dot|DOT)\s|\.)\s{0,2}[A-Za-z0-9-]{2,24}){1,4}")
 #: Words that speak for or against a kind when they stand before a span.
@@ -99,11 +104,22 @@ BEFORE = 28
 def candidates(text: str) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     for m in RUN.finditer(text):
-        n = len(digits_of(m.group()))
-        if 12 <= n <= 19:
-            found.append(("card", *m.span()))
-        if 7 <= n <= 15:
-            found.append(("phone", *m.span()))
+        if m.end() - m.start() < 7:
+            continue
+        groups = [g.span() for g in GROUP.finditer(text, *m.span())]
+        for i, (start, _) in enumerate(groups):
+            start -= start > 0 and text[start - 1] == "("
+            n, ends = 0, []
+            for a, b in groups[i : i + 19]:
+                n += b - a
+                if n > 19:
+                    break
+                ends.append((n, b))
+            for n, end in reversed(ends):  # of equal scores the longest goes first
+                if 12 <= n <= 19:
+                    found.append(("card", start, end))
+                if 7 <= n <= 15:
+                    found.append(("phone", start, end))
     if "[" in text or "(" in text:
         found += [("ip", *m.span()) for m in DEFANGED.finditer(text)]
     low = text.lower()
@@ -127,6 +143,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(re.search(r"[\[({]\s?(?:at|dot|@|\.)", s, re.I))), float("@" in s),
         float(start > 0 and text[start - 1].isalnum()), float(end < len(text) and text[end : end + 1].isalnum()),
         float(text[max(0, start - 2) : start].strip().endswith((":", "=", "#"))), float("+" in text[max(0, start - 2) : start]),
+        float(len(groups[0])) if groups else 0.0, float(len(groups[-1])) if groups else 0.0,
+        float(bool(NEAR_BEFORE.search(text, max(0, start - 4), start))), float(bool(NEAR_AFTER.match(text, end))),
         *(cue(k) for k in CUES),
     ]
 
@@ -221,9 +239,36 @@ def example(rng: random.Random) -> tuple[str, str, int, int, int] | None:
     return (text, kind, hit[0][1], hit[0][2], int(good)) if hit else None
 
 
+def neighbours(rng: random.Random) -> list[tuple[str, str, int, int, int]]:
+    """A generated text with numbers beside each other: all candidates of its run, and whether each is a whole card or phone."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(rng.choice("aeiourstnlmdk") for _ in range(rng.randint(2, 9)))
+    text, good = f"{w()} {rng.choice([w(), rng.choice(CUES['phone']), rng.choice(CUES['card'])])} ", set()
+    common = rng.choice(["phone", "card", "other"])
+    for k in range(rng.randint(2, 3)):
+        text += rng.choice([" ", " / ", " - "]) if k else ""
+        kind = common if rng.random() < 0.7 else rng.choice(["phone", "card", "other"])
+        if kind == "phone":
+            a, b, c = d(3), d(3), d(4)
+            s = rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
+        elif kind == "card":
+            s = d(15)
+            s += next(x for x in "0123456789" if luhn(s + x))
+            s = rng.choice([" ", "-"]).join(s[i : i + 4] for i in range(0, 16, 4)) if rng.random() < 0.7 else s
+        else:
+            s = rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), d(rng.randint(1, 9)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", "".join(rng.choice("0123456789" * 5 + "abcdef") for _ in range(rng.randint(16, 40)))])
+        if kind != "other":
+            good.add((kind, len(text) + s.startswith("+"), len(text) + len(s)))
+        text += s
+    text += f" {w()}"
+    base = [x for v in base_spans(text).values() for x in v]
+    return [(text, *c, int(c in good)) for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in base)]
+
+
 def train(n: int = 3000, seed: int = SEED) -> Boosted:
     rng = random.Random(seed)
     rows = [e for e in (example(rng) for _ in range(n)) if e]
+    rows += [e for _ in range(n // 5) for e in neighbours(rng)]
     x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows])
     y = np.array([g for *_, g in rows], float)
     held = np.arange(len(y)) % 3 == 2
@@ -256,12 +301,16 @@ def all_spans(text: str, model: Boosted) -> tuple[dict[str, list[Span]], dict[st
     proposed = [c for c in proposed if free(c[1], c[2])]
     if not proposed:
         return base, found
-    p = model.probability(np.array([features(text, *c) for c in proposed]))
-    added: list[Span] = []
-    for i in np.argsort(-p, kind="stable").tolist():
+    scored: list[tuple[float, int]] = []
+    for at in range(0, len(proposed), CHUNK):
+        p = model.probability(np.array([features(text, *c) for c in proposed[at : at + CHUNK]]))
+        scored += [(-float(x), at + i) for i, x in enumerate(p) if x >= model.thresholds[proposed[at + i][0]]]
+    added: list[Span] = []  # ascending, apart
+    for _, i in sorted(scored):
         kind, start, end = proposed[i]
-        if p[i] >= model.thresholds[kind] and not any(a < end and start < b for a, b in added):
-            added.append((start, end))
+        k = bisect_right(added, (start, end))
+        if (not k or added[k - 1][1] <= start) and (k == len(added) or end <= added[k][0]):
+            added.insert(k, (start, end))
             found[kind].append((start, end))
     return base, {k: sorted(v) for k, v in found.items()}
 

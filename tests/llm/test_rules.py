@@ -112,3 +112,19 @@ def test_op10_held_out():
     chosen = np.array([x >= model.thresholds[k] for x, (_, k, *_) in zip(p, rows, strict=True)])
     good = np.array([g for *_, g in rows], bool)
     assert good[chosen].mean() > 0.95 and chosen[good].mean() > 0.8
+
+
+def test_op10_neighbours():
+    """Numbers beside other numbers: each is proposed and found, also beside a base span and far into a long run."""
+    model = op10_pii.train()
+    cases = [
+        ("call +1 (826) 555-4081 190.137.223.204 x", "phone", ["1 (826) 555-4081"]),
+        ("reach +1 (843) 555-7672 170.106.47.218 x", "phone", ["1 (843) 555-7672"]),
+        ("call 555-123-4567 / 555-987-6543 now", "phone", ["555-123-4567", "555-987-6543"]),
+        ("card 4111 1111 1111 1111 5500 0000 0000 0004 ok", "card", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ]
+    for text, kind, want in cases:
+        assert {(kind, text.index(x), text.index(x) + len(x)) for x in want} <= set(op10_pii.candidates(text)), text
+        assert [text[a:b] for a, b in op10_pii.all_spans(text, model)[1][kind]] == want, text
+    long = "1 2 3 4 5 6 7 8 9 " + "415-555-0132"
+    assert ("phone", 18, 30) in op10_pii.candidates(long)
