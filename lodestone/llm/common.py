@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import discard, materialise, shared_dir
 
-__all__ = ["BATCH_BYTES", "id_text", "materialise", "shared_dir", "slices", "table", "texts"]
+__all__ = ["BATCH_BYTES", "discard", "id_text", "materialise", "shared_dir", "slices", "table", "texts"]
 
 #: Text bytes that a Python worker handles at a time; a longer text makes a batch of its own.
 BATCH_BYTES = 8 << 20

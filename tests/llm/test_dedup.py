@@ -118,20 +118,38 @@ def test_edits():
 
 
 def test_chain_is_best():
-    """The best chain's gain equals that of a quadratic recursion."""
-    rng = random.Random(2)
-    for _ in range(200):
-        n = rng.randint(2, 25)
-        points = sorted({(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(n)})
-        a, b = [p for p, _ in points], [q for _, q in points]
-        best = [0.0] * len(points)
-        for i in range(len(points)):
-            best[i] = op4_substring.GAIN + max([0.0] + [best[j] - op4_substring.GAP_COST / 2 * (a[i] - a[j] + b[i] - b[j]) for j in range(i) if a[j] < a[i] and b[j] < b[i]])
-        found = op4_substring.chain(a, b)
-        for s, e, rs, re_ in found:
-            assert s < e and rs < re_ and e - op4_substring.WORDS in a and re_ - op4_substring.WORDS in b
-        if max(best) == op4_substring.GAIN:
-            assert found == []
+    """Each segment's best chain scores as in a quadratic recursion; chains are in order and hold each segment once."""
+    rng, o = random.Random(2), op4_substring
+    for _ in range(300):
+        found = set()
+        for _ in range(rng.randint(1, 25)):
+            a, b, n = rng.randint(0, 60), rng.randint(0, 60), rng.randint(5, 14)
+            found.add((a, a + n, b, b + n))
+        found = sorted(found)
+        want = []
+        for a, e, b, _ in found:
+            fits = [want[j] - o.GAP_COST / 2 * (a - x[1] + b - x[3]) for j, x in enumerate(found[: len(want)]) if x[1] - o.OVERLAP <= a and x[3] - o.OVERLAP <= b]
+            want.append(e - a + max([0.0, *fits]))
+        assert o.best_chains(found)[0] == pytest.approx(want)
+        chains = o.chain(found)
+        assert sorted(x for c in chains for x in c) == found
+        for c in chains:
+            for x, y in zip(c, c[1:]):
+                assert x[1] - o.OVERLAP <= y[0] <= x[1] + o.MAX_GAP and x[3] - o.OVERLAP <= y[2] <= x[3] + o.MAX_GAP
+
+
+def test_extend_and_align():
+    assert op4_substring.extend([1, 2, 3, 4], [1, 2, 3, 4]) == (4, 4, 0)
+    more = list(range(10, 16))
+    assert op4_substring.extend([1, 2, 9, *more], [1, 2, 8, *more]) == (9, 9, 1)
+    assert op4_substring.extend([1, 2, *more], [1, 2, 7, *more]) == (8, 9, 1) and op4_substring.extend([1, 2, 9, 3], [1, 2, 8, 3]) == (2, 2, 0)
+    assert op4_substring.extend([7] * 50, [8] * 50) == (0, 0, 0) and op4_substring.extend([], [1]) == (0, 0, 0)
+    rng = random.Random(4)
+    for _ in range(200):  # what is passed can be aligned at that cost
+        a = [rng.randint(0, 5) for _ in range(rng.randint(0, 40))]
+        b = [x if rng.random() < 0.85 else rng.randint(0, 5) for x in a]
+        x, y, d = op4_substring.extend(a, b)
+        assert slow_edits(a[:x], b[:y]) <= d
 
 
 def planted(rng, edits):
@@ -176,7 +194,7 @@ def test_op4_cut(spark):
         if i in later:
             words = words[: later[i]] + words[later[i] + 55 :]
         assert left[i].split() == words
-    assert op4_substring.cut("a b\nc d", [(1, 3)]) == "a d" and op4_substring.cut("a b", [(0, 2)]) == "" and op4_substring.cut("a b", [(1, 5), (7, 9)]) == "a "
+    assert op4_substring.cut("a b\nc d", [(1, 3)]) == "a d" and op4_substring.cut("a b", [(0, 2)]) == ""
 
 
 def test_op4_twice_in_a_document(spark):
@@ -202,6 +220,98 @@ def test_op4_edges(odd_documents, no_documents):
     assert op4_substring.passages(no_documents).count() == 0
 
 
+def stretches(got):
+    return {(r.doc_id, r.passage_start, r.passage_end) for r in got}
+
+
+@pytest.mark.parametrize("edits", range(7))
+def test_op4_recall(spark, edits):
+    """Passages of 52 words with fresh random edits in each copy, among documents of other words; found means most of it is."""
+    rng = random.Random(1000 + edits)
+    fresh = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        passage = fresh(52)
+        rows.append([*fresh(40), *passage, *fresh(40)])
+        copy = list(passage)
+        for k in sorted(rng.sample(range(52), edits), reverse=True):
+            kind = rng.randrange(3)
+            copy[k : k + 1] = [[f"z{rng.randint(0, 9999)}"], [], [copy[k], f"z{rng.randint(0, 9999)}"]][kind]
+        want[len(rows)] = (30, 30 + len(copy))
+        rows.append([*fresh(30), *copy, *fresh(50)])
+    got = stretches(op4_substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(5)).collect())
+    assert {i for i, _, _ in got} <= set(want)
+    hit = sum(any(d == i and min(b, e) - max(a, s) >= 0.75 * (b - a) for d, s, e in got) for i, (a, b) in want.items())
+    assert hit >= 0.95 * len(want), hit
+
+
+def slow_passages(rows):
+    """Later documents' words that lie in a run of 40 or more words which an earlier document, or an earlier place, has word for word."""
+    seen, out = {}, {}
+    for i, words in rows:
+        for k in range(len(words) - 39):
+            run = tuple(words[k : k + 40])
+            if run in seen:
+                out.setdefault(i, set()).update(range(k, k + 40))
+            else:
+                seen[run] = i
+    return out
+
+
+def fragment_rows(seed):
+    """Copies of passages with many documents between and before them that hold short pieces of these."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    passages, rows = [fresh(60) for _ in range(4)], []
+    for i in range(120):
+        own = fresh(30)
+        for p in passages:
+            n = rng.choice([7, 9, 12])
+            at = rng.randint(0, 60 - n)
+            own += [*p[at : at + n], *fresh(20)]
+        if i % 15 == 7:
+            own += [*passages[i % 4], *fresh(10)]
+        rows.append((i, own))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op4_exact_copies_beside_fragments(spark, seed):
+    """Every exact copy is found, whatever fragments stand before and between, and nothing else is."""
+    rows = fragment_rows(seed)
+    got = op4_substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(3)).collect()
+    want = slow_passages(rows)
+    covered = {}
+    for i, a, b in stretches(got):
+        covered.setdefault(i, set()).update(range(a, b))
+    assert covered.keys() == want.keys() and all(want[i] <= covered[i] and len(covered[i] - want[i]) <= 12 for i in want)
+
+
+def test_op4_layout(spark, monkeypatch, documents):
+    """Equal results in any number of partitions and with batches of any size."""
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in fragment_rows(3)], "doc_id bigint, text string").union(documents.select("doc_id", "text").where("doc_id >= 120"))
+    want = None
+    for parts, words, shuffle in ((1, 1 << 20, 8), (4, 3000, 5), (16, 500, 3)):
+        monkeypatch.setattr(op4_substring, "BATCH_WORDS", words)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        got = Counter(tuple(r) for r in op4_substring.passages(rows.repartition(parts)).collect())
+        assert want in (None, got) and got
+        want = got
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_op4_string_and_repeated_ids(spark):
+    rng = random.Random(6)
+    p = [f"p{k}" for k in range(55)]
+    fresh = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    rows = [("a", [*fresh(30), *p]), ("b", fresh(80)), ("b", [*fresh(20), *p, *fresh(9)]), ("c", [*p, *fresh(30)])]
+    docs = spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows] + [("c", " ".join(rows[3][1]), "y")], "name string, body string, doc string")
+    found = op4_substring.passages(docs, "name", "body")
+    assert stretches(found.collect()) == {("b", 20, 75), ("c", 0, 55)}
+    left = sorted((r.name, r.body.split(), r.doc) for r in op4_substring.without_passages(docs, found, "name", "body").collect())
+    assert left == sorted([("a", rows[0][1], "x"), ("b", rows[1][1], "x"), ("b", [*rows[2][1][:20], *rows[2][1][75:]], "x"), ("c", rows[3][1][55:], "x"), ("c", rows[3][1][55:], "y")])
+
+
 def test_minimizers_share_runs():
     """Any eight equal words in a row give a common seed."""
     rng = random.Random(3)
