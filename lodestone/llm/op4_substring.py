@@ -48,6 +48,8 @@ MIN_WORDS, SIMILARITY = 40, 0.8
 MAX_GAP, MARGIN = 30, 32
 #: Fewest words that a chain's segments have, and that it has when aligned: what a pair of seeds spans at least.
 MIN_MATCHED, MIN_ALIGNED = 8, WORDS + 11
+#: Words between a document's segments (of all its others) that stand near each other, and the fewest words that these cover.
+NEARBY, MIN_NEAR = 30, 12
 #: A chain's cost for a word of a gap (mean of both sides); words by which its segments may overlap.
 GAP_COST, OVERLAP = 0.25, 4
 #: An extension's cost for an edit, and the drop below its best score that ends it.
@@ -296,6 +298,35 @@ def segments(doc: np.ndarray, ref: np.ndarray, pos: np.ndarray, ref_pos: np.ndar
     return tuple(c[order] for c in found)
 
 
+def telling(doc: np.ndarray, ref: np.ndarray, start: np.ndarray, end: np.ndarray, ref_start: np.ndarray, ref_end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments (by doc and ref) that can add to what is covered: of those that lie within an exact segment of MIN_ALIGNED
+    words or more of the same document only that one is needed, and what stands alone, with too few words near it, can't
+    become a passage."""
+    if not len(doc):
+        return doc, ref, start, end, ref_start, ref_end
+    columns = doc, ref, start, end, ref_start, ref_end
+    pair = np.r_[True, (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])]
+    total = np.add.reduceat(end - start, np.flatnonzero(pair))[np.cumsum(pair) - 1]
+    columns = tuple(c[total >= MIN_MATCHED] for c in columns)
+    doc, ref, start, end = columns[:4]
+    order = np.lexsort((ref, -end, start, doc))
+    base = doc[order].astype(np.int64) << np.int64(32)
+    reach = np.where(end[order] - start[order] >= MIN_ALIGNED, base + end[order], base)
+    reach = np.maximum.accumulate(np.r_[np.int64(-1), reach])[:-1] if len(order) else reach  # of what begins before or at the same place
+    order = np.sort(order[reach < base + end[order]])
+    columns = tuple(c[order] for c in columns)
+    doc, ref, start, end = columns[:4]
+    order = np.lexsort((end, start, doc))
+    base = doc[order].astype(np.int64) << np.int64(32)
+    first, last = base + start[order], base + end[order]
+    reach = np.maximum.accumulate(np.r_[np.int64(-1 << 40), last])[:-1]
+    island = np.cumsum(first - reach > NEARBY) if len(order) else first
+    added = np.maximum(last - np.maximum(first, reach), 0)
+    near = np.bincount(island, added, island[-1] + 1)[island] if len(order) else added
+    order = np.sort(order[near >= MIN_NEAR])
+    return tuple(c[order] for c in columns)
+
+
 def best_chains(found: list[Segment]) -> tuple[list[float], list[int]]:
     """For the segments of two documents (by start) the score of the best chain that each ends, and its segment before (-1: none)."""
     n = len(found)
@@ -465,7 +496,9 @@ def local(own: pa.Table, told: pa.Table) -> pa.Table:
     two = own_mate > 0
     doc, ref = np.r_[doc, doc[two]], np.r_[ref, ref[two]]
     own_pos, ref_pos = np.r_[own_pos, own_pos[two] + own_mate[two]], np.r_[ref_pos, ref_pos[two] + ref_mate[two]]
-    doc, ref, start, end, ref_start, ref_end = segments(doc, ref, own_pos, ref_pos)
+    earlier = (ref != number[doc]) | (ref_pos < own_pos)  # two pairs of a text can share their second shingle
+    doc, ref, own_pos, ref_pos = doc[earlier], ref[earlier], own_pos[earlier], ref_pos[earlier]
+    doc, ref, start, end, ref_start, ref_end = telling(*segments(doc, ref, own_pos, ref_pos))
 
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])][: len(doc)])
     total = np.add.reduceat(end - start, cut) if len(cut) else cut
