@@ -7,32 +7,48 @@ significant slice downward. A coarse score is off by less than a known amount, s
 k-th are selected the same way, and these boundary rows alone get exact scores.
 
 Every index block meets every block of queries once: index blocks have a cell, query blocks are copied to every cell, and
-the join is on the cell. Vectors that are null or hold null or non-finite components take no part; rows of another
-dimension than a query's are no candidates of it. A query with fewer candidates than k returns all. Rows that repeat a
-query's vec_id are the query's own. Ties go to the smaller vec_id.
+the join is on the cell; there are as many cells as index blocks, up to a few for each shuffle partition. Vectors that are
+null, empty or hold null or non-finite components take no part; rows of another dimension than a query's are no candidates of
+it. A query with fewer candidates than k returns all. Rows that repeat a query's vec_id are the query's own; of several valid
+vectors under one query id the least asks. Ties go to the smaller vec_id. An empty table gives an empty table. Columns other
+than vec_id and embedding are ignored, whatever their names.
+
+Integers are exact at any size: rows beyond 31 bits are held in 64, beyond 53 as the doubles they come from, and multiplied as
+unbounded integers where 64 bits might not do. A score of a result that does not fit a long is an error, never another number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
 K, EVERY, SCALE = 10, 100, 1024
-BLOCK, QUERY_BLOCK, CELLS = 8192, 128, 64
-#: Low bits that the slices leave out.
-DROPPED = 4
+BLOCK, QUERY_BLOCK = 8192, 128
+#: Cells for each shuffle partition, at most.
+CELLS = 8
+#: Low bits that the slices leave out; a block that has to leave out this many more is scored without slices.
+DROPPED, TOO_MANY = 4, 30
+#: How a block holds its integers: 32 bits, 64 bits, or the doubles that give them; by a row's greatest.
+SMALL, LARGE, RAW = 0, 1, 2
+LONG = 1 << 63
+
+
+def whole(x: float) -> int:
+    """floor(SCALE * x), also where the product leaves the doubles."""
+    return int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(SCALE * x)
 
 
-def integers(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: ids and integer vectors of the rows that take part."""
+def vectors_of(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: ids and vectors (doubles) of the rows that take part."""
     ids, vectors = batch.column(0), batch.column(1)
     lengths = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
     out = {}
@@ -43,11 +59,22 @@ def integers(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         x = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)  # null: NaN
         good = np.isfinite(x).all(axis=1)
         if good.any():
-            # beyond 2^40 a component's products would leave 64 bits; such values are held at the edge
-            out[dim] = ids.take(pa.array(rows[good])).to_numpy(zero_copy_only=False).astype(np.int64), np.clip(np.floor(SCALE * x[good]), -(2.0**40), 2.0**40).astype(np.int64)
+            out[dim] = ids.take(pa.array(rows[good])).to_numpy(zero_copy_only=False).astype(np.int64), x[good]
     return out
 
 
+def integers(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x): 64 bits, or unbounded integers where a double no longer counts by ones."""
+    if np.abs(x).max(initial=0.0) < 2.0**43:
+        return np.floor(SCALE * x).astype(np.int64)
+    return np.array([[whole(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def by_kind(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(axis=1)
+    return np.where(top < 2.0**20, SMALL, np.where(top < 2.0**43, LARGE, RAW))
+
+
 def slices_of(x: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Bitmaps (attribute, bit, words) of the high bits above their least, that least, and the bits dropped."""
     dropped = DROPPED
@@ -120,81 +147,110 @@ def kth(total: list[np.ndarray], valid: np.ndarray, k: int) -> int:
     return value
 
 
-def search(query: np.ndarray, own: int, ids: np.ndarray, exact: np.ndarray, bitmaps: np.ndarray, dropped: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(query: np.ndarray, own: int, ids: np.ndarray, exact: np.ndarray, bitmaps: np.ndarray | None, dropped: int, k: int) -> tuple[np.ndarray, list[int]]:
     """Ids and exact scores of a block's rows that can be among the query's k best in it."""
-    width, words = bitmaps.shape[1:]
-    bits = np.zeros(words * 64, np.uint8)
-    bits[: len(ids)] = ids != own
-    valid = np.packbits(bits, bitorder="little").view(np.uint64)
-    n = int(bits.sum())
-    if n > k and dropped < 30:
+    valid_rows = ids != own
+    n = int(valid_rows.sum())
+    rows = np.flatnonzero(valid_rows)
+    if n > k and bitmaps is not None and query.dtype != object:
+        width, words = bitmaps.shape[1:]
+        bits = np.zeros(words * 64, np.uint8)
+        bits[: len(ids)] = valid_rows
+        valid = np.packbits(bits, bitorder="little").view(np.uint64)
         size = np.abs(query)
         flipped = bitmaps ^ np.where(query < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None, None]
         weighted: dict[int, list[np.ndarray]] = {}
         for b in range(int(size.max()).bit_length()):
-            rows = flipped[(size >> b & 1).astype(bool)]
-            if len(rows):
+            chosen = flipped[(size >> b & 1).astype(bool)]
+            if len(chosen):
                 for j in range(width):
-                    weighted.setdefault(b + j, []).append(rows[:, j])
+                    weighted.setdefault(b + j, []).append(chosen[:, j])
         total = add_slices(weighted, words)
-        slack = -((-((1 << dropped) - 1) * int(size.sum())) // (1 << dropped))
-        chosen = at_least(total, valid, kth(total, valid, k) - slack)
-        bits = np.unpackbits(chosen.view(np.uint8), bitorder="little")[: len(ids)]
-    rows = np.flatnonzero(bits[: len(ids)])
-    bound = int(np.abs(exact).max(initial=0)) * int(np.abs(query).max(initial=0)) * len(query)
-    scores = exact[rows] @ query if bound < 1 << 62 else np.clip(exact[rows].astype(object) @ query.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][order], scores[order]
+        slack = -((-((1 << dropped) - 1) * sum(size.tolist())) // (1 << dropped))
+        found = at_least(total, valid, kth(total, valid, k) - slack)
+        rows = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(ids)])
+    chosen = exact[rows]
+    if not len(rows):
+        return ids[:0], []
+    most, asked = int(np.abs(chosen).max()), int(np.abs(query).max())
+    if max(most, asked, most * asked * len(query)) < 1 << 62:
+        scores = chosen.astype(np.int64) @ query.astype(np.int64)
+        order = np.lexsort((ids[rows], -scores))[:k]
+        return ids[rows][order], scores[order].tolist()
+    scores = (chosen.astype(object) @ query.astype(object)).tolist()
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    return ids[rows[order]], [scores[i] for i in order]
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector takes part."""
+    inf = F.lit(float("inf"))
+    return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (x.cast("double") < inf) & (x.cast("double") > -inf))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs: vec_id, embedding. A query id that repeats counts once, with its least vector."""
+    """query_id, rank, vec_id, score. Both inputs: vec_id, embedding."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId()
+        serial = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
-                for dim, (ids, x) in integers(batch.slice(start, BLOCK)).items():
-                    bitmaps, least, dropped = slices_of(x)
-                    small = x.astype(np.int32) if np.abs(x).max() < 1 << 31 else x
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([serial % CELLS]), pa.array([dim]), pa.array([ids.tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary()), pa.array([bitmaps.tobytes()], pa.binary()), pa.array([dropped])],
-                        ["cell", "dim", "ids", "exact", "bitmaps", "dropped"],
-                    )
-                    serial += 1
+                for dim, (all_ids, x) in vectors_of(batch.slice(start, BLOCK)).items():
+                    kinds = by_kind(x)
+                    for kind in np.unique(kinds).tolist():
+                        ids, own = all_ids[kinds == kind], x[kinds == kind]
+                        bitmaps, dropped = None, 0
+                        if kind != RAW:
+                            own = integers(own)
+                            bitmaps, _, dropped = slices_of(own)
+                        raw = own.astype(np.int32) if kind == SMALL else own
+                        kept = bitmaps.tobytes() if bitmaps is not None and dropped < TOO_MANY else None
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([serial]), pa.array([dim]), pa.array([kind]), pa.array([ids.tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary()), pa.array([kept], pa.binary()), pa.array([dropped])],
+                            ["block", "dim", "kind", "ids", "exact", "bitmaps", "dropped"],
+                        )
+                        serial += 1
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, QUERY_BLOCK):
-                for dim, (ids, x) in integers(batch.slice(start, QUERY_BLOCK)).items():
+                for dim, (ids, x) in vectors_of(batch.slice(start, QUERY_BLOCK)).items():
                     yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dim", "query_ids", "query"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, dropped = batch.column(0)[row].as_py(), batch.column(4)[row].as_py()
-                raw = [np.frombuffer(batch.column(i)[row].as_buffer(), np.int64) for i in (1, 5, 6)]
-                ids, query_ids, query = raw[0], raw[1], raw[2].reshape(-1, dim)
-                exact = batch.column(2)[row].as_buffer()
-                exact = np.frombuffer(exact, np.int32 if exact.size == 4 * dim * len(ids) else np.int64).reshape(-1, dim).astype(np.int64)
-                bitmaps = np.frombuffer(batch.column(3)[row].as_buffer(), np.uint64)
-                bitmaps = bitmaps.reshape(dim, -1, -(-len(ids) // 64))
-                found = [search(q, int(i), ids, exact, bitmaps, dropped, k) for q, i in zip(query, query_ids, strict=True)]
+                dim, kind, dropped = (batch.column(i)[row].as_py() for i in (0, 1, 5))
+                ids, query_ids = (np.frombuffer(batch.column(i)[row].as_buffer(), np.int64) for i in (2, 6))
+                exact = np.frombuffer(batch.column(3)[row].as_buffer(), (np.int32, np.int64, np.float64)[kind]).reshape(-1, dim)
+                exact = integers(exact) if kind == RAW else exact
+                bitmaps = batch.column(4)[row].as_buffer()
+                if bitmaps is not None:
+                    bitmaps = np.frombuffer(bitmaps, np.uint64).reshape(dim, -1, -(-len(ids) // 64))
+                query = np.frombuffer(batch.column(7)[row].as_buffer(), np.float64).reshape(-1, dim)
+                found = [search(integers(q[None])[0], int(i), ids, exact, bitmaps, dropped, k) for q, i in zip(query, query_ids, strict=True)]
+                scores = [s for _, own in found for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    built = materialise(
-        vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(index, "cell bigint, dim bigint, ids binary, exact binary, bitmaps binary, dropped bigint"), "slices"
-    )
-    asked = queries.where("vec_id is not null and embedding is not null").groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+                    [
+                        pa.array(np.repeat(query_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])),
+                        pa.array([max(-LONG, min(LONG - 1, s)) for s in scores], pa.int64()), pa.array([-LONG <= s < LONG for s in scores], pa.bool_()),
+                    ],
+                    ["query_id", "vec_id", "score", "fits"],
+                )
+
+    built = vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(index, "block bigint, dim bigint, kind bigint, ids binary, exact binary, bitmaps binary, dropped bigint")
+    built = materialise(built, "slices")
+    asked = queries.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
     asked = materialise(asked.mapInArrow(blocks, "dim bigint, query_ids binary, query binary"), "queries")
-    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CELLS - 1).cast("bigint"))))
-    met = built.join(spread.hint("shuffle_merge"), ["cell", "dim"]).select("dim", "ids", "exact", "bitmaps", "dropped", "query_ids", "query")
-    best = met.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
+    cells = max(1, min(built.count(), CELLS * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
+    met = built.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells))).join(spread.hint("shuffle_merge"), ["cell", "dim"])
+    met = met.select("dim", "kind", "ids", "exact", "bitmaps", "dropped", "query_ids", "query")
+    best = met.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint, fits boolean")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    too_large = F.raise_error(F.concat(F.lit("the score of query "), F.col("query_id"), F.lit(" and row "), F.col("vec_id"), F.lit(" does not fit a long"))).cast("bigint")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.when(F.col("fits"), F.col("score")).otherwise(too_large).alias("score"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

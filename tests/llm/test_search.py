@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -21,22 +22,44 @@ def test_op6_oracle(spark, small):
     assert of_spark(QUERIES["op6_topk"](spark, small)) == of_duck(connect(small), ORACLE_SQL["op6_topk"])
 
 
+def slow_top(rows, least=lambda v: v):
+    good = [(i, [math.floor(Fraction(float(np.float32(x))) * 1024) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    asked, want = {}, {}
+    for (i, v), (_, raw) in zip(good, [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)], strict=True):
+        if i % 100 == 0 and (i not in asked or raw < asked[i][0]):
+            asked[i] = raw, v
+    for q, (_, v) in asked.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored[:10])}
+    return want
+
+
+def top_rows(spark, rows, kind="float"):
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], f"vec_id bigint, embedding array<{kind}>, score int, block string").repartition(3)
+    return {(r.query_id, r.rank): (r.vec_id, r.score) for r in op6_topk.top_k(df, df.where(F.col("vec_id") % 100 == 0)).collect()}
+
+
 def test_op6_odd(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(700)]
     rows += [(700 + i, rows[i % 5][1]) for i in range(40)]  # ties
-    rows += [(800, None), (900, [None] * 8), (901, [float("nan")] * 8), (902, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (1000, [0.5] * 3), (1001, [0.25] * 3), (1100, []), (1200, [1e9] + [0.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op6_topk.top_k(df, df.where(F.col("vec_id") % 100 == 0)).collect()}
-    good = [(i, [min(max(math.floor(1024 * float(np.float32(x))), -(2**40)), 2**40) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    want = {}
-    for q, v in good:
-        if q % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
-            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored[:10])}
-    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
-    assert got == {k: (i, clip(s)) for k, (i, s) in want.items()}
-    assert op6_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    rows += [(800, None), (900, [None] * 8), (901, [float("nan")] * 8), (902, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (1000, [0.5] * 3), (1001, [0.25] * 3), (1100, []), (1200, [1e5] + [0.0] * 7)]
+    rows += [(100, [None] * 8), (200, [float("nan")] * 8), (300, None), (400, [-0.1] * 8), (1300, [3e7, -2e7, *[0.5] * 6]), (1301, [2e7] * 8)]  # ids that repeat with other vectors; large ones
+    assert top_rows(spark, rows) == slow_top(rows)
+    empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert op6_topk.top_k(empty, empty).count() == 0
+
+
+def test_op6_large_scores(spark):
+    """Exact where the score fits a long, an error where it doesn't."""
+    assert top_rows(spark, [(0, [1.0]), (1, [4e9]), (2, [2e9]), (3, [-4e9])]) == {(0, 1): (1, 4000000000 * 1024**2), (0, 2): (2, 2000000000 * 1024**2), (0, 3): (3, -4000000000 * 1024**2)}
+    big = [(0, [1.0, 2.0**-10]), (1, [2.0**42, -(2.0**52)]), (2, [2.0**41, 2.0**50]), (3, [0.5, 2.0**42])]
+    assert top_rows(spark, big) == slow_top(big)
+    assert top_rows(spark, [(0, [1.0]), *((i, [float(i)]) for i in range(1, 11)), (50, [-1e30])])[0, 10] == (1, 1024**2)  # what doesn't fit is no result
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_rows(spark, [(0, [1.0]), (1, [1e30])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_rows(spark, [(0, [1e300]), (1, [1e300]), (2, [-1.0])], "double")
 
 
 def test_bit_slices():
