@@ -6,11 +6,12 @@ fingerprint has its home at the nearest anchor and visits every anchor within co
 17 of them; what differs from it in 1 bit has its home at one of these. Homes and visitors are compared per anchor.
 
 Equal fingerprints are one node, so copies are never expanded. No words: fingerprint zero, linked like any other. Null text
-is empty. A null doc_id keeps its row; a component of null ids only has a null id.
+is empty. A null doc_id keeps its row; a component of null ids only has a null id. Repeated rows and ids keep their rows. Very
+long texts are hashed whole, in blocks. An empty table gives an empty table. Other columns may have any names.
 
 The pipeline's stage (one_of_each) has wider bounds: it links texts of five-word Jaccard 0.8 or more as well. Candidates
 share a band of four minimal hashes, 20 bands (a pair at 0.8 shares one but once in 38,000 times), and are compared by
-their whole sets of shingles.
+their whole sets of shingles. It decides by row (id and text), so unlike texts under one id don't stand for each other.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import op4_substring
-from .common import materialise, slices, table, texts
+from .common import discard, materialise, slices, table, texts
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -155,16 +156,21 @@ def bands(rows: list[str]) -> list[list[int]]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, key of the words, bands."""
+    """id, row (a hash of the text), fp, key of the words, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = texts(batch)
             fps = np.array([fingerprint(t.encode()) for t in rows], np.uint64).view(np.int64)
             keys = pa.array([words_key(t) for t in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), keys, pa.array(bands(rows), pa.list_(pa.int64()))], [id_col, "fp", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps), keys, pa.array(bands(rows), pa.list_(pa.int64()))], ["id", "row", "fp", "key", "bands"])
 
-    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp bigint, key bigint, bands array<bigint>")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), row_key(docs[text_col]).alias("row")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, row bigint, fp bigint, key bigint, bands array<bigint>")
+
+
+def row_key(text: Column) -> Column:
+    """What tells rows under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -177,7 +183,7 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
     pairs = left.join(right, "band").where("root < other_root").select("key", "root", "other", "other_root").distinct()
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("key").union(pairs.select("other")).distinct(), "wanted")
-    ids = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(id_col).alias(id_col)).select(id_col).distinct()
+    one_row = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "row")).alias("r")).select("r.id", "r.row")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -199,7 +205,7 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
-    chosen = docs.select(docs[id_col], docs[text_col].alias("text")).join(ids, id_col, "left_semi").select("text")
+    chosen = docs.select(docs[id_col].alias("id"), row_key(docs[text_col]).alias("row"), docs[text_col].alias("text")).join(one_row, ["id", "row"], "left_semi").select("text")
     sets = materialise(chosen.mapInArrow(pack, "key bigint, words binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
     other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
     met = pairs.join(sets, "key").join(other, "other").select("root", "other_root", "words", "other_words")
@@ -207,18 +213,20 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component of both link rules stays: the one with the least id, of rows that share it the first
-    in order of all columns. Rows with a null id are left alone."""
-    known = docs.where(F.col(id_col).isNotNull())
+    """One document of each component of both link rules stays: the one with the least id, and of texts that share this id
+    the one whose hash is least; of rows equal in both the first by all columns. Rows with a null id are left alone."""
+    known = docs.where(docs[id_col].isNotNull())
     prints = materialise(sketches(known, id_col, text_col), "sketches")
-    rooted = materialise(_rooted(prints, id_col), "rooted")
+    rooted = materialise(_rooted(prints, "id"), "rooted")
     wider = components(alike(known, prints, rooted, id_col, text_col), "alike").select(F.col("node"), F.col("root").alias("wide"))
-    found = rooted.join(wider, rooted["root"] == wider["node"], "left")
-    keepers = found.groupBy(F.coalesce("wide", "root").alias("component")).agg(F.min("least").alias(id_col)).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(*(F.xxhash64(c) for c in docs.columns))
-    name = "row_" + "_".join(docs.columns)
-    first = known.join(keepers, id_col, "left_semi").withColumn(name, F.row_number().over(order)).where(F.col(name) == 1)
-    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    found = rooted.join(wider, rooted["root"] == wider["node"], "left").select("fp", F.coalesce("wide", "root").alias("component"))
+    least = prints.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("first"))
+    keepers = materialise(least.join(found, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.row"), "keepers")
+    discard(prints, rooted)
+    order = Window.partitionBy("id", "row").orderBy(*(F.xxhash64(F.col("document").getField(c)) for c in docs.columns))
+    rows = known.select(known[id_col].alias("id"), row_key(known[text_col]).alias("row"), F.struct(*(known[c] for c in docs.columns)).alias("document"))
+    first = rows.join(keepers, ["id", "row"], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return first.select("document.*").unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,11 +74,25 @@ def test_one_of_each(odd_documents, no_documents):
     kept = op3_simhash.one_of_each(odd_documents)
     rows = rows_of(kept)
     ids = [i for i, _ in rows if i is not None]
-    assert len(ids) == len(set(ids)) and sum(i is None for i, _ in rows) == 2 and kept.columns == odd_documents.columns
+    assert max(Counter(i for i in ids if i != 3).values()) == 1
+    assert sum(i is None for i, _ in rows) == 2 and kept.columns == odd_documents.columns
+    assert sorted(t for i, t in rows if i == 3) == sorted({t for i, t in rows_of(odd_documents) if i == 3})  # unlike texts under one id
     assert 7 in ids and 66 not in ids and 67 not in ids  # copies, one of them in capitals
     assert op3_simhash.one_of_each(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_of_each_repeated_ids(spark, seed):
+    """Every text that has no copy stays, whatever rows share its id, and one of each group of copies."""
+    rng = random.Random(seed)
+    a, b = sentence(rng, 90), sentence(rng, 80)
+    alone = [sentence(rng, rng.randint(30, 90)) for _ in range(6)]
+    rows = [(1, a), (3, a), (3, alone[0]), (3, b), (2, b), (2, alone[1]), (1, alone[2]), (7, alone[3]), (7, alone[4]), (7, a), (9, alone[5]), (9, alone[5])]
+    rng.shuffle(rows)
+    kept = [tuple(r) for r in op3_simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()]
+    assert sorted(kept) == sorted([(1, a), (2, b), *{(i, t) for i, t in rows if t in alone}])
+
+
 def test_one_of_each_wide(spark):
     """Five-word Jaccard of 0.8 links in the stage, whatever the fingerprints' bits, and nothing below does."""
     rng = random.Random(12)
