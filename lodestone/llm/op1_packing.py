@@ -8,6 +8,13 @@ bins. Each piece has a rank in its length from its place in the task that made i
 its run by binary search.
 
 A longer document is cut: its first piece is the remainder, all others are full. A null text is empty: the end id alone.
+
+Ids are those of the tokenizers library. They come from the library that is fastest for whole texts; on texts with code points
+for which the two differ (found by asking both about each once), with any above U+FFFF, or with very long white space, which
+overflows its stack, from op 9's coder, which is exact for all.
+
+Null ids, repeated rows and ids keep their rows, each its own pieces; ties of length go by place. Very long texts are encoded
+whole. An empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +31,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import op9_bpe
 from .common import materialise, slices, table, texts
 
 CAPACITY = 2048
 END_ID = 0
 #: A run of so many white space characters goes another way.
 LONG_SPACE = 4000
-LONG_RUN = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 _encoders: dict[str, object] = {}
 
 
+def public_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def encoder():
     """The vocabulary of byte_bpe_50k.json in the library that is fastest for whole texts; ids are the same."""
     if "byte_bpe_50k" not in _encoders:
@@ -48,11 +62,23 @@ def encoder():
     return _encoders["byte_bpe_50k"]
 
 
-def token_ids(text: str) -> np.ndarray:
-    if len(text) > LONG_SPACE and any(c.isspace() for c in text[:: LONG_SPACE // 2]) and LONG_RUN.search(text):
-        from .op9_bpe import coder  # the other library's stack overflows on very long white space
+@lru_cache
+def other_way() -> str:
+    """A pattern of what has to go by op 9's coder: code points on which the two libraries differ, and long white space."""
+    from tokenizers import Tokenizer
+
+    library, quick = Tokenizer.from_file(public_path()), encoder()
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    probes = [f"a{chr(c)}{chr(c)}a {chr(c)}1" for c in points]
+    exact = (x.ids for k in range(0, len(probes), 4096) for x in library.encode_batch(probes[k : k + 4096], add_special_tokens=False))
+    unlike = {c for c, s, ids in zip(points, probes, exact, strict=True) if quick.encode_ordinary(s) != ids}
+    return rf"{op9_bpe.char_class(unlike)}|\s{{{LONG_SPACE}}}"
+
 
-        return np.r_[np.frombuffer(coder().encode_batch([text])[0], "<u4"), np.uint32(END_ID)].astype("<u4")
+def token_ids(text: str, exact_only) -> np.ndarray:
+    """Ids of a text and the end; `exact_only` searches for what other_way() names."""
+    if exact_only(text):
+        return np.r_[np.frombuffer(op9_bpe.coder().encode_batch([text])[0], "<u4"), np.uint32(END_ID)].astype("<u4")
     enc = encoder()
     got = enc.encode(text, allowed_special="all") if "<|endoftext|>" in text else enc.encode_ordinary(text)
     return np.array([*got, END_ID], "<u4")
@@ -130,13 +156,15 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, ids: bool) -> DataFrame:
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, place bigint" + ", ids array<int>" * ids
+    pattern, rare = other_way(), op9_bpe.unlike(public_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
+        exact_only, _ = re.compile(pattern).search, op9_bpe.coder(rare=rare)
         for batch in slices(batches):
             of, columns = [], [[] for _ in range(6 + ids)]
             for i, text in enumerate(texts(batch)):
-                got = token_ids(text)
+                got = token_ids(text, exact_only)
                 first = len(got) % capacity or capacity
                 for k, start in enumerate([0, *range(first, len(got), capacity)]):
                     own = got[start : first if not k else start + capacity]

@@ -4,44 +4,80 @@ The vocabulary marks word ends, so a prefix of a word has two readings. `open`:
 prefix there is one last token t that fits the last token of the prefix before t; count = count there + 1. `closed`: the
 prefix ends the text, its last symbol has the end mark; its last token is one with the mark that fits an open prefix.
 Two tokens fit if no merge across their border comes before the merges that build their sides of it. Counts at prefixes
-of a whole text are sums over its words plus the closed count in the word that the prefix cuts, so truncation and budget
-questions need no second encoding.
+of a whole text are sums over its words plus the closed count in the word that the prefix cuts.
 
-A prefix is one of the normalised text (NFC, white space to single spaces, lower case). Null text: empty, 0 tokens.
-Special strings inside a text count as one token each, which is the library's default.
+Each document's counts at all prefixes are stored as packed steps from one prefix to the next; totals, truncation points and
+budgets are read off them, without a second encoding. A prefix is one of the normalised text (NFC, white space to single
+spaces, lower case), in which special strings stand as they are. They count as one token each, which is the library's
+default; a special string that the prefix cuts is ordinary text.
+
+Character classes, lower case and normal forms are those of the library's Unicode version: code points on which another table
+could differ (`unlike`) are found by asking the library about each once, and texts with such go through its normaliser and
+pre-tokenizer.
+
+Null text: empty, 0 tokens. Null ids, repeated rows and ids keep their rows. Very long texts are handled whole. An empty table
+gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table, texts
-from .op9_bpe import byte_alphabet
+from .op9_bpe import byte_alphabet, char_class, spans_of, unlike_classes
 
-CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 1_000_000, 48, 1_000_000
+CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 500_000, 48, 1_000_000
 LIMIT = 2048
 #: The word rule of the vocabulary file's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER = 1 << 30
-#: Sigma, and lower case that the library's newer Unicode tables have and Python's lack.
-FOLDS = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
+SIGMA, SMALL_SIGMA = "Σ", "σ"
+
+
+def fold(text: str) -> str:
+    """NFC and lower case by code point, so without a rule for a final sigma."""
+    if text.isascii():
+        return text.lower()
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.replace(SIGMA, SMALL_SIGMA).lower()
+
+
+@lru_cache
+def unlike(path: str) -> str:
+    """A character class of the code points on which Python's tables may differ from the library's: all above U+FFFF; those
+    that Unicode 3.2 lacks, as rules for sequences may be later (for the others normal forms are stable); and those of which
+    the library's own answers differ."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c != 1]
+    folded = dict(zip(points, library.normalizer.normalize_str("\x01".join(map(chr, points))).split("\x01"), strict=True))
+    later = {c for c in points if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"}
+    other = {c for c in points if (" " if chr(c).isspace() else fold(chr(c))) != folded[c]}
+    return char_class(later | other | unlike_classes(library, WORD) | {1})
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, rare: str | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet, end = spec["model"]["vocab"], byte_alphabet(), spec["model"]["end_of_word_suffix"]
+        self.path, self._library = path, None
+        self.rare = re.compile(rare or unlike(path)).search
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = regex.compile("|".join(map(regex.escape, self.special)))
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.findall = regex.compile(WORD).findall
         self.spaces = regex.compile(r"\s+")
 
@@ -63,11 +99,9 @@ class WordBpe:
             if token in vocab:
                 raw, closed = plain(token)
                 (self.closed if closed else self.open)[raw] = vocab[token]
-        self.longest = max(map(len, [*self.open, *self.closed]))
         self.fits_memo: dict[int, bool] = {}
-        self.cache: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
-        self.controls = regex.compile("[\x1c-\x1f]")
+        #: By chunk (text without white space) the steps of its counts, one byte for each code point; None if a step needs more.
+        self.chunks: dict[str, bytes | None] = {}
         # by the last two bytes (or the one byte), the lengths that tokens with this end have, longest first
         self.open_lengths, self.closed_lengths = self._lengths(self.open), self._lengths(self.closed)
 
@@ -78,6 +112,8 @@ class WordBpe:
             found.setdefault(raw[-2:], {1}).add(len(raw))
         return {k: sorted(v, reverse=True) for k, v in found.items()}
 
+    # --- the recursion ---
+
     def fits(self, u: int, v: int) -> bool:
         """Whether u, v stand side by side in an encoding: no merge across the border comes first."""
         key = u << 20 | v
@@ -135,162 +171,193 @@ class WordBpe:
 
     def close(self, word: bytes, last: list[int], count: list[int], i: int) -> int:
         """Tokens of the closed prefix of length i > 0, from the open ones."""
+        get, memo = self.closed.get, self.fits_memo
         for size in self.closed_lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or self.closed_lengths[word[i - 1 : i]]:
             if size <= i:
-                t = self.closed.get(word[i - size : i])
-                if t is not None and (size == i or self.fits(last[i - size], t)):
-                    return count[i - size] + 1
+                t = get(word[i - size : i])
+                if t is not None:
+                    if size == i:
+                        return 1
+                    u = last[i - size]
+                    fit = memo.get(u << 20 | t)
+                    if self.fits(u, t) if fit is None else fit:
+                        return count[i - size] + 1
         raise AssertionError("a byte with the end mark always fits")
 
-    def prefixes(self, word: bytes, upto: list[int] | None = None) -> list[int]:
-        """Closed counts of the prefixes of the given lengths (None: of every length from 0 on)."""
-        last, count = [-1], [0]
-        self.extend(word, last, count, len(word) - 1)
-        return [self.close(word, last, count, i) if i else 0 for i in (range(len(word) + 1) if upto is None else upto)]
-
-    def count_words(self, words: set[str]) -> dict[str, int]:
-        """Counts of distinct words. In sorted order a word takes over the open prefixes that it shares with the one before."""
-        found, last, count, before = {}, [-1], [0], b""
+    def prefixes(self, words: set[str]) -> dict[str, list[int]]:
+        """For distinct words the closed counts at the ends of their code points. In sorted order a word takes over all that
+        it shares with the one before."""
+        found, last, count, closed, before = {}, [-1], [0], [0], b""
         for raw, word in sorted((w.encode(), w) for w in words):
             n, k = len(raw), 0
-            most = min(n, len(last)) - 1
+            most = min(n, len(closed) - 1)
             while k < most and raw[k] == before[k]:
                 k += 1
-            del last[k + 1 :], count[k + 1 :]
+            del last[k + 1 :], count[k + 1 :], closed[k + 1 :]
             self.extend(raw, last, count, n - 1)
-            found[word] = self.close(raw, last, count, n)
+            whole = len(word) == n  # a code point a byte
+            for i in range(len(closed), n + 1):
+                closed.append(self.close(raw, last, count, i) if whole or i == n or raw[i] & 0xC0 != 0x80 else -1)
+            found[word] = closed[1:] if whole else [c for c in closed[1:] if c >= 0]
             before = raw
         return found
 
-    def word_count(self, word: str) -> int:
-        known = self.cache.get(word)
-        if known is None:
-            raw = word.encode()
-            known = self.prefixes(raw, [len(raw)])[0]
-            if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = known
-        return known
+    # --- texts ---
 
-    @staticmethod
-    def fold(text: str) -> str:
-        """NFC and lower case as in the library, which has no rule for a final sigma."""
-        if text.isascii():
-            return text.lower()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        for a, b in FOLDS:
-            text = text.replace(a, b)
-        return text.lower()
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def normalise(self, text: str) -> str:
-        return self.fold(self.spaces.sub(" ", text))
+        """The normalised text; `text` holds no special strings."""
+        return self.library.normalizer.normalize_str(text) if self.rare(text) else fold(self.spaces.sub(" ", text))
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk of a normalised text."""
+        return [chunk[a:b] for a, b in spans_of(self.library, chunk)] if self.rare(chunk) else self.findall(chunk)
+
+    def steps(self, chunks: set[str]) -> dict[str, list[int]]:
+        """For distinct chunks the steps of the counts at their prefixes, one for each code point."""
+        split = {c: self.words(c) for c in chunks}
+        wanted = {w for own in split.values() for w in own}
+        # a contraction that is cut is no contraction: an apostrophe, then letters
+        wanted |= {w for own in split.values() for x in own if x[0] == "'" and len(x) > 1 for w in ("'", x[1:])}
+        counts = self.prefixes(wanted)
+        out = {}
+        for chunk, own in split.items():
+            at, found = 0, []
+            for w in own:
+                inner = counts[w]
+                if w[0] == "'" and len(w) > 1 and w[1].isalpha():
+                    inner = [counts["'"][0], *(counts["'"][0] + c for c in counts[w[1:]][:-1]), inner[-1]]
+                found += [c + at for c in inner]
+                at = found[-1]
+            out[chunk] = [b - a for a, b in zip([0, *found], found, strict=False)]
+        return out
 
     def segments(self, text: str) -> list[str]:
-        """Text between special strings."""
+        """Text and special strings in turn, text first and last."""
         return self.cut.split(text) if "<|" in text else [text]
 
-    def chunks_of(self, text: str) -> tuple[list[str], int]:
-        """Chunks of the normalised text without white space, and how many special strings the text holds."""
-        parts = self.segments(text)
-        chunks: list[str] = []
-        for part in parts:
-            part = self.fold(part)
-            # Python splits at these controls, the word rule doesn't; words hold no white space, so any split at it will do
-            chunks += self.spaces.split(part) if self.controls.search(part) else part.split()
-        return chunks, len(parts) - 1
-
-    def count_batch(self, batch: list[str]) -> list[int]:
-        """Token counts of whole texts."""
-        split = [self.chunks_of(t) for t in batch]
+    def divided(self, text: str) -> list[tuple[bool, list[str], bool]]:
+        """For each segment whether white space leads, its chunks, and whether white space ends it; special strings alike."""
+        out = []
+        for i, part in enumerate(self.segments(text)):
+            if i % 2:
+                out.append((False, [part], False))
+            elif not part:
+                out.append((False, [], False))
+            elif self.rare(part):
+                norm = self.library.normalizer.normalize_str(part)
+                out.append((norm[0] == " ", [c for c in norm.split(" ") if c], norm[-1] == " "))
+            else:
+                out.append((part[0].isspace(), fold(part).split(), part[-1].isspace()))
+        return out
+
+    def batch_steps(self, batch: list[str]) -> list[np.ndarray]:
+        """For each text the steps of its counts: int8, or int32 where a step needs more."""
+        split = [self.divided(t) for t in batch]
+        if len(self.chunks) > CACHE_WORDS:
+            self.chunks.clear()
         cache = self.chunks
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = {c for chunks, _ in split for c in chunks if c not in cache}
-        words = {c: self.findall(c) for c in new}
-        fresh = self.count_words({w for own in words.values() for w in own if w not in self.cache})
-        self.cache.update((w, n) for w, n in fresh.items() if len(w) <= CACHE_CHARS)
-        get = self.cache.get
-        added = {c: sum([fresh[w] if w in fresh else get(w) for w in own]) for c, own in words.items()}
-        keep = len(cache) + len(added) <= 2 * CACHE_WORDS
-        if keep:
-            cache.update((c, n) for c, n in added.items() if len(c) <= CACHE_CHARS)
-            added = {c: n for c, n in added.items() if len(c) > CACHE_CHARS}
-        if not added:
-            return [sum(map(cache.__getitem__, chunks)) + n for chunks, n in split]
-        return [sum([added[c] if c in added else cache[c] for c in chunks]) + n for chunks, n in split]
+        new = {c for own in split for i, (_, chunks, _) in enumerate(own) if i % 2 == 0 for c in chunks if c not in cache}
+        for own in split:
+            for i in range(1, len(own), 2):  # a special string after text that it touches, read as ordinary text
+                new.add(self.joined(own, i))
+        wide: dict[str, list[int]] = {}
+        narrow: dict[str, bytes] = {}
+        for chunk, found in self.steps(new).items():
+            if len(found) and -128 <= min(found) and max(found) <= 127:
+                narrow[chunk] = np.array(found, np.int8).tobytes()
+            else:
+                wide[chunk] = found
+        kept = {c: x for c, x in narrow.items() if len(c) <= CACHE_CHARS}
+        cache.update(kept)
+        other = {c: x for c, x in narrow.items() if len(c) > CACHE_CHARS}
+        return [self.assemble(own, cache, other, wide) for own in split]
+
+    @staticmethod
+    def joined(own: list[tuple[bool, list[str], bool]], i: int) -> str:
+        _, chunks, ended = own[i - 1]
+        return ("" if ended or not chunks else chunks[-1]) + own[i][1][0]
+
+    def assemble(self, own: list, cache: dict[str, bytes], other: dict[str, bytes], wide: dict[str, list[int]]) -> np.ndarray:
+        if len(own) == 1 and not wide:
+            lead, chunks, ended = own[0]
+            if not chunks:
+                return np.zeros(int(lead), np.int8)
+            body = b"\0".join([cache[c] for c in chunks] if not other else [other[c] if c in other else cache[c] for c in chunks])
+            return np.frombuffer(b"\0" * lead + body + b"\0" * ended, np.int8)
+        get = lambda c: wide[c] if c in wide else np.frombuffer(other[c] if c in other else cache[c], np.int8)
+        pieces: list[np.ndarray | list[int]] = []
+        for i, (lead, chunks, ended) in enumerate(own):
+            if i % 2:
+                found = np.cumsum(get(self.joined(own, i)))
+                n = len(chunks[0])
+                before = int(found[-n - 1]) if len(found) > n else 0
+                inner = found[-n:] - before
+                inner[-1] = 1
+                pieces.append(np.diff(inner, prepend=0))
+            else:
+                pieces += [[0]] * lead + [x for k, c in enumerate(chunks) for x in ([[0]] * (k > 0) + [get(c)])] + [[0]] * (ended and bool(chunks))
+        out = np.concatenate([np.zeros(0, np.int64), *(np.asarray(p, np.int64) for p in pieces)])
+        return out.astype(np.int8) if not len(out) or (out.min() >= -128 and out.max() <= 127) else out.astype(np.int32)
 
     def count(self, text: str) -> int:
-        return self.count_batch([text])[0]
+        return int(self.batch_steps([text])[0].sum(dtype=np.int64))
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Token counts at the prefixes of 0 to n code points of the normalised text without special strings."""
-        text = self.normalise(text)
-        found = np.zeros(len(text) + 1, np.int64)
-        before = at = 0
-        for m in regex.finditer(WORD, text):
-            found[at : m.start() + 1] = before
-            word = m.group()
-            if word[0] == "'" and len(word) > 1:  # a contraction that is cut is no contraction
-                inner = [sum(map(self.word_count, self.findall(word[:k]))) for k in range(1, len(word))] + [self.word_count(word)]
-            else:
-                sizes, size = [], 0
-                for c in word:
-                    size += len(c.encode())
-                    sizes.append(size)
-                inner = self.prefixes(word.encode(), sizes)
-            found[m.start() + 1 : m.end() + 1] = np.array(inner) + before
-            before, at = before + inner[-1], m.end()
-        found[at + 1 :] = before
-        return found
+        """Token counts at the prefixes of 0 to n code points of the normalised text."""
+        return np.r_[0, np.cumsum(self.batch_steps([text])[0], dtype=np.int64)]
+
+
+def pack_steps(steps: np.ndarray) -> bytes:
+    return steps.dtype.itemsize.to_bytes(1, "little") + zstandard.compress(steps.tobytes(), 1)
+
 
-    def cut_within(self, text: str, budget: int) -> int:
-        """The longest prefix of the normalised text, in code points, that has `budget` tokens at most."""
-        before = 0
-        for m in regex.finditer(WORD, text):
-            n = self.word_count(m.group())
-            if before + n > budget:
-                inner = self.prefix_counts(m.group())
-                return m.start() + int(np.flatnonzero(inner + before <= budget)[-1])
-            before += n
-        return len(text)
+def counts_of(packed: bytes) -> np.ndarray:
+    """Counts at the prefixes of 0 to n code points from a value of the column prefix_steps."""
+    return np.r_[0, np.cumsum(np.frombuffer(zstandard.decompress(packed[1:]), "<i1" if packed[0] == 1 else "<i4"), dtype=np.int64)]
+
+
+def longest_within(counts: np.ndarray, budget: int) -> int:
+    """The longest prefix, in code points of the normalised text, that has `budget` tokens at most."""
+    return int(np.flatnonzero(counts <= budget)[-1])
 
 
 _coders: dict[str, WordBpe] = {}
 
 
-def coder(path: str | None = None) -> WordBpe:
+def coder(path: str | None = None, rare: str | None = None) -> WordBpe:
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
     if path not in _coders:
-        _coders[path] = WordBpe(path)
+        _coders[path] = WordBpe(path, rare)
     return _coders[path]
 
 
-def token_counts(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, prefixes: bool = False) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit, cut: where the longest prefix of `limit` tokens ends (code points of the normalised
-    text; null if the text is within the limit or holds special strings) and, if asked for, the counts at all prefixes."""
-    import public_tokenizers  # noqa: F401
+def token_counts(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, n_bytes, n_tokens, over_limit, cut (where the longest prefix of `limit` tokens ends, in code points of the normalised
+    text; null if the text is within the limit) and prefix_steps, the packed counts at all prefixes (see counts_of)."""
+    import public_tokenizers
 
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut bigint" + ", prefix_counts array<bigint>" * prefixes
+    rare = unlike(path or public_tokenizers.path("word_bpe_49k.json"))
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut bigint, prefix_steps binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
+        bpe = coder(path, rare)
         for batch in slices(batches):
-            rows = texts(batch)
-            counts = bpe.count_batch(rows)
-            cuts = [bpe.cut_within(bpe.normalise(t), limit) if n > limit and len(bpe.segments(t)) == 1 else None for t, n in zip(rows, counts, strict=True)]
+            made = bpe.batch_steps(texts(batch))
+            counts = [int(x.sum(dtype=np.int64)) for x in made]
+            cuts = [longest_within(np.r_[0, np.cumsum(x, dtype=np.int64)], limit) if n > limit else None for x, n in zip(made, counts, strict=True)]
             sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
-            columns = [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(cuts, pa.int64())]
-            names = [id_col, "n_bytes", "n_tokens", "over_limit", "cut"]
-            if prefixes:
-                columns.append(pa.array([bpe.prefix_counts(t).tolist() for t in rows], pa.list_(pa.int64())))
-                names.append("prefix_counts")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(cuts, pa.int64()), pa.array(map(pack_steps, made), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit", "cut", "prefix_steps"])
 
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, schema)
 

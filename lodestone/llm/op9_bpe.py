@@ -5,8 +5,14 @@ Ranks that are active are applied in ascending order, each to all its positions
 its own two borders and adds their positions to the lists of their ranks. A pair that holds a new token ranks after the
 merge that made the token, so each rank is applied once.
 
+Words are cut by the pattern of the vocabulary's pre-tokenizer. Code points whose classes differ from the library's Unicode
+version are found by asking the library about each once; texts with these, or with any above U+FFFF, are cut by the library's
+pre-tokenizer.
+
 Result per document: ids as the tokenizers library gives them, and their decoding. A null text is empty; an empty text has
-no ids. Strings of special tokens inside a text are special tokens, which is the library's default.
+no ids. Strings of special tokens inside a text are special tokens, which is the library's default. Null ids, repeated rows
+and ids keep their rows. Very long texts are encoded whole. An empty table gives an empty table. Other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -14,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +44,42 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def spans_of(library, text: str) -> list[tuple[int, int]]:
+    """Where the library's pre-tokenizer cuts a text."""
+    return [span for _, span in library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def unlike_classes(library, pattern: str) -> set[int]:
+    """Code points up to U+FFFF beside which the library cuts in other places than the pattern does here."""
+    words, found = regex.compile(pattern), set()
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000:
+            s = f"a{chr(c)}{chr(c)}a {chr(c)}1"
+            if [s[a:b] for a, b in spans_of(library, s)] != words.findall(s):
+                found.add(c)
+    return found
+
+
+def char_class(points: set[int]) -> str:
+    """A character class of these code points and all above U+FFFF."""
+    ends = sorted(points)
+    starts = [c for c in ends if c - 1 not in points]
+    stops = [c for c in ends if c + 1 not in points]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, stops, strict=True)) + "\U00010000-\U0010ffff]"
+
+
+@lru_cache
+def unlike(path: str) -> str:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return char_class(unlike_classes(Tokenizer.from_file(path), public_tokenizers.PATTERN))
+
+
 class ByteBpe:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, rare: str | None = None):
+        self.path, self._library = path, None
+        self.rare = re.compile(rare or unlike(path)).search
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -59,10 +101,19 @@ class ByteBpe:
         for r, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
             if a in back and b in back:
                 self.first[back[a], back[b]] = r
-        self.words = regex.compile(pattern).findall
+        self.findall = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        if not self.rare(text):
+            return self.findall(text)
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return [text[a:b] for a, b in spans_of(self._library, text)]
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) << SHIFT) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -173,24 +224,25 @@ class ByteBpe:
 _coders: dict[str, ByteBpe] = {}
 
 
-def coder(path: str | None = None) -> ByteBpe:
+def coder(path: str | None = None, rare: str | None = None) -> ByteBpe:
     """One coder a worker; path None: the public byte_bpe_50k.json."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _coders:
-        _coders[path] = ByteBpe(path, public_tokenizers.PATTERN)
+        _coders[path] = ByteBpe(path, public_tokenizers.PATTERN, rare)
     return _coders[path]
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids (array<int>) and the decoded text."""
-    import public_tokenizers  # noqa: F401  fails on the driver if the files are absent
+    import public_tokenizers
 
+    rare = unlike(path or public_tokenizers.path("byte_bpe_50k.json"))
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path)
+        bpe = coder(path, rare)
         for batch in slices(batches, "text", 4 << 20):
             packed = bpe.encode_batch(texts(batch))
             decoded = [bpe.decode(x) for x in packed]

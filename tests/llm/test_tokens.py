@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,13 +54,53 @@ def test_op9_round_trip(documents):
 
 def test_prefix_counts():
     lib, own = library("word_bpe_49k.json"), op8_counts.coder()
-    for text in [t for t in ODD if "<|" not in t] + ["Hello, world! It's 2024; don't."]:
-        text = own.normalise(text)[:250]
-        assert own.prefix_counts(text).tolist() == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    for text in [t if "<|" in t else own.normalise(t)[:250] for t in ODD] + ["hello, world! it's 2024; don't.", "we'll'll ''s 're're x!'re", "end <|endoftext|>", "a!!<|endoftext|><|endoftext|>b 'r<|startoftext|>"]:
+        counts = own.prefix_counts(text)
+        assert counts.tolist() == [n(text[:i]) for i in range(len(text) + 1)], text
         for budget in (0, 1, 5):
-            cut = own.cut_within(text, budget)
-            assert len(lib.encode(text[:cut], add_special_tokens=False).ids) <= budget
-            assert cut == len(text) or len(lib.encode(text[: cut + 1], add_special_tokens=False).ids) > budget
+            cut = op8_counts.longest_within(counts, budget)
+            assert n(text[:cut]) <= budget and all(n(text[:i]) > budget for i in range(cut + 1, len(text) + 1))
+
+
+def test_steps_beyond_a_byte():
+    """Steps that need more than a byte are stored wider."""
+    steps = np.array([300, -5, 0], np.int32)
+    assert op8_counts.counts_of(op8_counts.pack_steps(steps)).tolist() == [0, 300, 295, 295]
+    parts = [(True, ["x", "y"], False), (False, ["<|s|>"], False), (False, [], False)]
+    made = op8_counts.coder().assemble(parts, {"x": b"\x01"}, {}, {"y": [400], "y<|s|>": [400, 1, 0, 0, 0, 1]})
+    assert made.dtype == np.int32 and made.tolist() == [0, 1, 0, 400, 1, 0, 0, 0, 0]
+
+
+def all_points():
+    return [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+@pytest.mark.parametrize("kind", ["word", "byte", "quick"])
+def test_every_code_point(kind):
+    """Each code point beside a letter, a digit and itself, and in random company, as the library has it."""
+    lib = library("word_bpe_49k.json" if kind == "word" else "byte_bpe_50k.json")
+    rng, points = random.Random(11), all_points()
+    rows = ["\n".join(f"a{chr(c)}{chr(c)}b {chr(c)}1" for c in points[k : k + 512]) for k in range(0, len(points), 512)]
+    low = [c for c in points if c < 0x3000]
+    rows += ["".join(chr(rng.choice(low if rng.random() < 0.7 else points)) for _ in range(rng.randint(1, 12))) for _ in range(500 if kind == "quick" else 6000)]
+    want = [e.ids for e in lib.encode_batch(rows, add_special_tokens=False)]
+    if kind == "word":
+        assert [int(x.sum()) for x in op8_counts.coder().batch_steps(rows)] == [len(w) for w in want]
+    elif kind == "byte":
+        assert [np.frombuffer(x, "<u4").tolist() for x in op9_bpe.coder().encode_batch(rows)] == want
+    else:
+        search = re.compile(op1_packing.other_way()).search
+        assert [op1_packing.token_ids(t, search).tolist() for t in rows] == [[*w, 0] for w in want]
+
+
+def test_long_white_space():
+    """On both sides of where the coder changes."""
+    lib, search = library("byte_bpe_50k.json"), re.compile(op1_packing.other_way()).search
+    for n in (1999, 2000, 2001, 3999, 4000, 4001, 8001):
+        for space in (" ", "\n", "\u00a0"):
+            for text in (space * n, f"a{space * n}b", f"a b{space * n}"):
+                assert op1_packing.token_ids(text, search).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 0]
 
 
 @pytest.mark.parametrize("which", ["documents", "odd_documents"])
@@ -69,7 +110,11 @@ def test_op8(request, which):
     for i, t in rows_of(docs):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         want[i, len((t or "").encode()), n, n > 2048] += 1
-    assert Counter(tuple(r)[:4] for r in op8_counts.token_counts(docs).collect()) == want
+    got = op8_counts.token_counts(docs).collect()
+    assert Counter(tuple(r)[:4] for r in got) == want
+    for r in got:
+        counts = op8_counts.counts_of(r.prefix_steps)
+        assert counts[-1] == r.n_tokens and r.cut == (op8_counts.longest_within(counts, 2048) if r.over_limit else None)
 
 
 def check_packing(docs, got, capacity):
