@@ -44,7 +44,7 @@ def test_op6_odd(spark):
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(700)]
     rows += [(700 + i, rows[i % 5][1]) for i in range(40)]  # ties
     rows += [(800, None), (900, [None] * 8), (901, [float("nan")] * 8), (902, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (1000, [0.5] * 3), (1001, [0.25] * 3), (1100, []), (1200, [1e5] + [0.0] * 7)]
-    rows += [(100, [None] * 8), (200, [float("nan")] * 8), (300, None), (400, [-0.1] * 8), (1300, [3e7, -2e7, *[0.5] * 6]), (1301, [2e7] * 8)]  # ids that repeat with other vectors; large ones
+    rows += [(100, [None] * 8), (200, [float("nan")] * 8), (300, None), (400, [-0.1] * 8), (1300, [3e6, -2e6, *[0.5] * 6]), (1301, [2e6] * 8)]  # ids that repeat with other vectors; large ones
     assert top_rows(spark, rows) == slow_top(rows)
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert op6_topk.top_k(empty, empty).count() == 0
