@@ -1,21 +1,22 @@
 """Op 7: language-model scoring by a subword lattice.
 
-Units are the pieces of an existing vocabulary (sentencepiece, byte fallback) and the words of the training documents. A
-text's probability is the sum over all its segmentations into units, times the end's. No unit spans two words, so the sum
-is a product over words of (the word's own weight + the marginal of its spelling by pieces), the latter by a forward
-recursion in log space, once for each distinct word of the corpus.
-
-A token is a training word with probability (1 - u) c / N, or spelt with u, the rate of new words by the share of tokens
-that occur once. A spelling is a piece with the mark of a start, then others, then a stop: two unigram distributions. Their
-weights are how often each piece spells a training word, every word counting once, as new words are what is spelt, smoothed
-by a Zipf law over the vocabulary's own scores, which are ranks. So all texts' probabilities sum to 1 at most.
-
-Counting is exact and runs over all training documents. A batch of documents sends its distinct words, packed by bucket;
-a bucket adds up counts and returns them, with the marginals, to the batches that asked, where bags of words wait. All of
-this is in bounded blobs; a frequent word is one entry a batch.
-
-Null text: empty, its one token is the end. Null doc_id: crc32 of the empty text decides on the hold-out. No training
-documents: words weigh nothing, pieces have the Zipf law.
+Units are the pieces of an existing vocabulary (sentencepiece, byte fallback), each weighted by its score there. A text's
+probability is the sum over all its segmentations into pieces of the product of their weights, times the end's. No piece
+spans two words, so the sum is a product over words of their marginals, each by a forward recursion in log space, once for
+each distinct word of the corpus.
+
+The vocabulary's scores are ranks, so how much a score weighs is learned: pieces fall into classes by score (four to a
+doubling of the rank), start of a word or not, and bytes; a class has the share of all pieces that spell the training text,
+smoothed by a Zipf law over the ranks, and deals it to its pieces by that law. Pieces of one score class weigh alike, whatever
+the corpus says of each: the vocabulary itself is not trained. Weights of all pieces and the end sum to 1.
+
+Counting is exact and runs over all training documents. A batch of documents sends its distinct words, packed by bucket; a
+bucket adds up their counts, and in a second round returns counts and marginals, a row a batch, to the batches that asked,
+where bags of words wait. All of this is in bounded blobs; a frequent word is one entry a batch.
+
+Null text: empty, its one token is the end. Null doc_id: crc32 of the empty text decides on the hold-out. Repeated rows and
+ids keep their rows, and count each. Very long texts are scored whole. No training documents: scores weigh by the Zipf law.
+An empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import id_text, materialise, slices, table, texts
 
 SPACE = "▁"
-LONGEST = 16
-#: Observations that the Zipf law counts as.
-PRIOR = 20_000.0
+#: Observations that the Zipf law counts as, and what its ranks begin at.
+PRIOR, OFFSET = 1000.0, 10
+#: Score classes for each doubling of the rank, and of one kind of piece at most.
+FINE, CLASSES = 4, 64
+NOTHING = -700.0
 BATCH_TEXT = 16 << 20
 LN10 = math.log(10)
 
@@ -74,13 +77,26 @@ class Pieces:
             elif not (self.library.is_control(i) or self.library.is_unknown(i)):
                 self.id_of[piece] = i
         self.size = n
+        self.longest = max(map(len, self.id_of))
         rank = np.array([max(0.0, -self.library.get_score(i)) for i in range(n)])
-        zipf = 1 / (rank + 10)
-        zipf[self.byte_id] = 1 / (n + 10)
         usable = np.zeros(n, bool)
         usable[list(self.id_of.values())] = usable[self.byte_id] = True
-        self.prior = np.where(usable, zipf, 0)
+        rank[self.byte_id] = n
+        self.prior = np.where(usable, 1 / (rank + OFFSET), 0)
         self.prior /= self.prior.sum()
+        kind = np.zeros(n, np.int64)
+        kind[[i for p, i in self.id_of.items() if p.startswith(SPACE)]] = 1
+        kind[self.byte_id] = 2
+        self.score_class = kind * CLASSES + np.minimum(CLASSES - 1, FINE * np.log2(rank + 1)).astype(np.int64)
+
+    def weights(self, uses: np.ndarray, ends: int) -> tuple[np.ndarray, float]:
+        """Natural logs of the weights of pieces and of the end, from how often each piece spells the training text."""
+        uses = np.where(self.prior > 0, uses, 0)
+        mass = np.bincount(self.score_class, uses + PRIOR * self.prior, 3 * CLASSES)[self.score_class]
+        share = self.prior / np.maximum(np.bincount(self.score_class, self.prior, 3 * CLASSES)[self.score_class], 1e-300)
+        total = uses.sum() + PRIOR + ends + 1
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(mass * share / total), NOTHING), math.log((ends + 1) / total)
 
     def spell(self, words: list[str]) -> list[list[int]]:
         """One segmentation of each word: the library's."""
@@ -99,7 +115,7 @@ def vocabulary(path: str | None = None) -> Pieces:
     return _pieces[path]
 
 
-def forward(word: str, log_p: dict[str, float], log_byte: list[float], longest: int = LONGEST) -> float:
+def forward(word: str, log_p: dict[str, float], log_byte: list[float], longest: int) -> float:
     """Natural log of the sum over all spellings of a word (with the mark of its start) by pieces."""
     s = SPACE + word
     alpha = [0.0]
@@ -181,34 +197,30 @@ def gather(docs: DataFrame, buckets: int, id_col: str) -> DataFrame:
 
 
 def add_up(rows: pa.Table) -> pa.Table:
-    """A bucket's words with their counts over all batches, and for each batch which of them it has."""
+    """A bucket's words with their counts over all batches."""
     lists = [zstandard.decompress(x).split(b"\n") for x in rows["a"].to_pylist()]
     number = {w: i for i, w in enumerate(sorted(set().union(*lists)))}
     total = np.zeros(len(number), np.int64)
-    index = []
     for own, counts in zip(lists, rows["b"].to_pylist(), strict=True):
-        at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-        total[at] += unpack(counts, "<u4")
-        index.append(pack(np.diff(at, prepend=0).astype("<u4")))
-    return pa.table({
-        "bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "words": pa.array([pack(b"\n".join(number))], pa.binary()), "counts": pa.array([pack(total)], pa.binary()),
-        "batches": pa.array([rows["batch"].to_pylist()], pa.list_(pa.int64())), "indexes": pa.array([index], pa.list_(pa.binary())),
-    })
+        total[np.fromiter(map(number.__getitem__, own), np.int64, len(own))] += unpack(counts, "<u4")
+    return pa.table({"bucket": pa.array([rows["bucket"][0].as_py()], pa.int32()), "words": pa.array([pack(b"\n".join(number))], pa.binary()), "counts": pa.array([pack(total)], pa.binary())})
 
 
 def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): pieces that spell training words, each word once; -1 tokens, -2 distinct words, -3 words that occur once."""
+    """(key, n): pieces that spell the training words, -1 tokens, -2 distinct words."""
     vocab, found = vocabulary(), Counter()
     for batch in batches:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, counts = zstandard.decompress(words).split(b"\n"), unpack(counts, "<i8")
-            seen = [w.decode() for w, c in zip(words, counts.tolist(), strict=True) if c]
+            words, counts = zstandard.decompress(words).split(b"\n"), unpack(counts, "<i8").tolist()
+            seen = [(w.decode(), c) for w, c in zip(words, counts, strict=True) if c]
             for k in range(0, len(seen), 4096):
-                for ids in vocab.spell(seen[k : k + 4096]):
-                    found.update(ids)
-            found[-1] += int(counts.sum())
+                part = seen[k : k + 4096]
+                spelt = vocab.spell([w for w, _ in part])
+                at = np.fromiter((i for ids in spelt for i in ids), np.int64)
+                uses = np.bincount(at, np.repeat([c for _, c in part], [len(ids) for ids in spelt]), vocab.size)
+                found.update({i: int(uses[i]) for i in np.flatnonzero(uses).tolist()})
+            found[-1] += sum(counts)
             found[-2] += len(seen)
-            found[-3] += int((counts == 1).sum())
     yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
 
 
@@ -219,48 +231,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     held = F.crc32(id_text(id_col).cast("binary")) % 10 == 0 if held_out is None else held_out
     chosen = docs.select(docs[id_col], docs[text_col].alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     made = materialise(gather(chosen, buckets, id_col), "bags")
-    added = made.where("bucket >= 0").select("batch", "bucket", "a", "b").groupBy("bucket").applyInArrow(add_up, "bucket int, words binary, counts binary, batches array<bigint>, indexes array<binary>")
-    added = materialise(added, "words")
+    sent = made.where("bucket >= 0").select("bucket", "batch", "a", "b")
+    added = materialise(sent.groupBy("bucket").applyInArrow(add_up, "bucket int, words binary, counts binary"), "words")
 
-    stats = {r.key: r.n for r in added.select("words", "counts").mapInArrow(statistics, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # as many rows as pieces, and three
+    stats = {r.key: r.n for r in added.select("words", "counts").mapInArrow(statistics, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # as many rows as pieces, and two
     ends = chosen.where("not held").count()
-    n_train, distinct, single = stats.get(-1, 0) + ends, stats.get(-2, 0) + (ends > 0), stats.get(-3, 0)
+    n_train, distinct = stats.get(-1, 0) + ends, stats.get(-2, 0) + (ends > 0)
     vocab = vocabulary()
-    spelt = np.zeros(vocab.size)
+    uses = np.zeros(vocab.size)
     for k, n in stats.items():
-        if 0 <= k < vocab.size:
-            spelt[k] = n
-    spelt[vocab.prior == 0] = 0
-    new = min(0.5, (single + 1) / (n_train + 2)) if n_train else 0.9
-    marked = np.zeros(vocab.size, bool)
-    marked[[i for p, i in vocab.id_of.items() if p.startswith(SPACE)]] = True
-    log_weight = np.full(vocab.size, -700.0)
-    for own, stop in ((marked, 0.0), (~marked & (vocab.prior > 0), distinct + PRIOR / 3)):
-        zipf = vocab.prior[own] / vocab.prior[own].sum()
-        log_weight[own] = np.log((spelt[own] + PRIOR * zipf) / (spelt[own].sum() + PRIOR + stop))
-    rest = spelt[~marked].sum() + PRIOR
-    log_spelt = math.log(new) + math.log((distinct + PRIOR / 3) / (rest + distinct + PRIOR / 3))  # to spell, and to stop
-    p_end = (1 - new) * ends / n_train if ends else (1 - new) / 2
+        if k >= 0:
+            uses[k] = n
+    log_weight, log_end = vocab.weights(uses, ends)
     model = spark.sparkContext.broadcast(log_weight)  # one number a piece
 
-    def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marginals(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """For each batch the counts and marginals of its words in a bucket."""
         pieces, log_w = vocabulary(), model.value
         log_p = {p: float(log_w[i]) for p, i in pieces.id_of.items()}
         log_byte = [float(log_w[i]) for i in pieces.byte_id]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words = zstandard.decompress(batch.column(1)[k].as_py()).decode().split("\n")
-                counts = unpack(batch.column(2)[k].as_py(), "<i8")
-                spelling = np.fromiter((forward(w, log_p, log_byte) for w in words), float, len(words)) + log_spelt
-                own = (1 - new) * counts / n_train if n_train else np.zeros(len(words))
-                with np.errstate(divide="ignore"):
-                    total = np.logaddexp(np.log(own), spelling) / LN10
-                at = [np.cumsum(unpack(x, "<u4").astype(np.int64)) for x in batch.column(4)[k].as_py()]
-                ids = batch.column(3)[k].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(ids), pa.int32()), pa.array([pack(counts[x]) for x in at], pa.binary()), pa.array([total[x].tobytes() for x in at], pa.binary())],
-                    ["batch", "bucket", "counts", "logs"],
-                )
+        words = zstandard.decompress(known["words"][0].as_py()).split(b"\n")
+        counts = unpack(known["counts"][0].as_py(), "<i8")
+        total = np.fromiter((forward(w.decode(), log_p, log_byte, pieces.longest) for w in words), float, len(words)) / LN10
+        number = {w: i for i, w in enumerate(words)}
+        at = [np.fromiter(map(number.__getitem__, zstandard.decompress(x).split(b"\n")), np.int64) for x in asked["a"].to_pylist()]
+        return pa.table({
+            "batch": asked["batch"], "bucket": asked["bucket"], "counts": pa.array([pack(counts[x]) for x in at], pa.binary()), "logs": pa.array([total[x].tobytes() for x in at], pa.binary()),
+        })
 
     base_all, base_end = math.log10(n_train + 0.1 * (distinct + 1)), math.log10(ends + 0.1)
 
@@ -269,7 +266,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x, "<i8") for x in asked["counts"].to_pylist())])
         logs = np.concatenate([np.zeros(0), *(np.frombuffer(x, float) for x in asked["logs"].to_pylist())])
         base = np.log10(counts + 0.1)
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         ids, held = bag["ids"][0].as_py(), bag["held"][0].as_py()
         sizes, steps, tfs = unpack(bag["a"][0].as_py(), "<u4"), unpack(bag["b"][0].as_py(), "<u4").astype(np.int64), unpack(bag["tfs"][0].as_py(), "<u4").astype(np.int64)
         at = 0
@@ -277,14 +274,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             own, tf = np.cumsum(steps[at : at + n]), tfs[at : at + n]
             at += n
             tokens = int(tf.sum()) + 1
-            for c, x in zip(out, (tokens, int(tf[counts[own] > 0].sum()) + (ends > 0), float(tf @ base[own]) + base_end - tokens * base_all, float(tf @ logs[own]) + math.log10(p_end)), strict=False):
+            for c, x in zip(out, (tokens, int(tf[counts[own] > 0].sum()) + (ends > 0), float(tf @ base[own]) + base_end - tokens * base_all, float(tf @ logs[own]) + log_end / LN10), strict=True):
                 c.append(x)
         return pa.table({
             id_col: pa.array(ids, bag["ids"].type.value_type), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
             "train_tokens": pa.array([n_train] * len(ids), pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64()),
         })
 
-    returned = added.select("bucket", "words", "counts", "batches", "indexes").mapInArrow(marginals, "batch bigint, bucket int, counts binary, logs binary")
+    returned = sent.groupBy("bucket").cogroup(added.groupBy("bucket")).applyInArrow(marginals, "batch bigint, bucket int, counts binary, logs binary")
     bags = made.where("bucket = -1").select("batch", "a", "b", "ids", "held", "tfs")
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return returned.groupBy("batch").cogroup(bags.groupBy("batch")).applyInArrow(finish, schema)

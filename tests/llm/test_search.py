@@ -157,8 +157,8 @@ def test_forward():
     for _ in range(100):
         word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
         p = {x: rng.random() for x in ["▁", "a", "b", "ab", "ba", "▁a", "▁ab", "aab", "bbb"]}
-        assert math.exp(op7_lattice.forward(word, {k: math.log(v) for k, v in p.items()}, [-9.0] * 256)) == pytest.approx(slow_marginal("▁" + word, p))
-    assert op7_lattice.forward("é", {"▁": 0.0}, [-1.0] * 256) == pytest.approx(-2.0)  # two bytes
+        assert math.exp(op7_lattice.forward(word, {k: math.log(v) for k, v in p.items()}, [-9.0] * 256, 3)) == pytest.approx(slow_marginal("▁" + word, p))
+    assert op7_lattice.forward("é", {"▁": 0.0}, [-1.0] * 256, 1) == pytest.approx(-2.0)  # two bytes
 
 
 def test_op7_held_out(spark):
@@ -173,6 +173,44 @@ def test_op7_held_out(spark):
     assert np.mean(real) > np.mean(fake) + 2
 
 
+def test_op7_score(spark):
+    """The whole score against a sum over all segmentations, one by one, with weights worked out piece by piece."""
+    import public_tokenizers
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(i, t) for i, t in enumerate(["The cat sat", "a cat", "dogs été", "", None, "sat sat 日 \U0001f600", "cats do", "THE", "on it", "dog", "a b", "to cat"])]
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    assert 0 < len(train) < len(rows)
+    words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+    uses = Counter(p for i in train for w in words(rows[i][1]) for p in lib.encode(w))
+    n = lib.get_piece_size()
+    rank = {i: float(n) if lib.is_byte(i) else max(0.0, -lib.get_score(i)) for i in range(n) if lib.is_byte(i) or not (lib.is_control(i) or lib.is_unknown(i))}
+    zipf = {i: 1 / (r + 10) for i, r in rank.items()}
+    scale = 1000 / sum(zipf.values())
+    group = {i: (lib.is_byte(i), lib.id_to_piece(i).startswith("▁"), min(63, int(4 * math.log2(r + 1)))) for i, r in rank.items()}
+    used, size = Counter(), Counter()
+    for i, g in group.items():
+        used[g] += uses[i] + scale * zipf[i]
+        size[g] += zipf[i]
+    total = sum(uses.values()) + 1000 + len(train) + 1
+    weight = {i: used[g] * zipf[i] / size[g] / total for i, g in group.items()}
+    assert sum(weight.values()) + (len(train) + 1) / total == pytest.approx(1)
+    p = {lib.id_to_piece(i): w for i, w in weight.items() if not lib.is_byte(i)}
+    for w in {w for _, t in rows for w in words(t)}:
+        for c in w:
+            if c not in p:
+                p[c] = math.prod(weight[lib.piece_to_id(f"<0x{b:02X}>")] for b in c.encode())
+    want = {i: math.log10((len(train) + 1) / total) + sum(math.log10(slow_marginal("▁" + w, p)) for w in words(t)) for i, t in rows}
+    got = op7_lattice.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want)
+
+
+def test_op7_longest_piece():
+    pieces = op7_lattice.vocabulary()
+    assert pieces.longest == max(map(len, pieces.id_of))
+
+
 def test_op7_edges(no_documents, odd_documents):
     assert op7_lattice.score(no_documents).count() == 0
     none = op7_lattice.score(odd_documents, held_out=F.lit(True)).collect()
