@@ -1,15 +1,19 @@
 """Op 7: language-model scoring by a subword lattice.
 
-Units are the pieces of an existing vocabulary (sentencepiece, byte fallback), each weighted by its score there. A text's
-probability is the sum over all its segmentations into pieces of the product of their weights, times the end's. No piece
-spans two words, so the sum is a product over words of their marginals, each by a forward recursion in log space, once for
-each distinct word of the corpus.
+Units are the pieces of an existing vocabulary (sentencepiece, byte fallback), each weighted by its score there. A word's
+marginal is the sum over all its segmentations into pieces of the product of their weights, by a forward recursion in log
+space, once for each distinct word of the corpus. No piece spans two words, so a text's sum over all segmentations is the
+product of its words' marginals and the end's weight: `lattice_score`.
 
 The vocabulary's scores are ranks, so how much a score weighs is learned: pieces fall into classes by score (four to a
 doubling of the rank), start of a word or not, and bytes; a class has the share of all pieces that spell the training text,
 smoothed by a Zipf law over the ranks, and deals it to its pieces by that law. Pieces of one score class weigh alike, whatever
 the corpus says of each: the vocabulary itself is not trained. Weights of all pieces and the end sum to 1.
 
+`score` is the model's: what the lattice knows of spelling joined with what the training documents tell of words. A token is a
+known one with probability (1 - u) c / N, or spelt by the lattice with u, the share of training tokens that occur once; both
+add up, and the probabilities of all texts sum to 1 at most.
+
 Counting is exact and runs over all training documents. A batch of documents sends its distinct words, packed by bucket; a
 bucket adds up their counts, and in a second round returns counts and marginals, a row a batch, to the batches that asked,
 where bags of words wait. All of this is in bounded blobs; a frequent word is one entry a batch.
@@ -84,8 +88,9 @@ class Pieces:
         rank[self.byte_id] = n
         self.prior = np.where(usable, 1 / (rank + OFFSET), 0)
         self.prior /= self.prior.sum()
+        self.starting = np.array([i for p, i in self.id_of.items() if p.startswith(SPACE)])
         kind = np.zeros(n, np.int64)
-        kind[[i for p, i in self.id_of.items() if p.startswith(SPACE)]] = 1
+        kind[self.starting] = 1
         kind[self.byte_id] = 2
         self.score_class = kind * CLASSES + np.minimum(CLASSES - 1, FINE * np.log2(rank + 1)).astype(np.int64)
 
@@ -207,7 +212,7 @@ def add_up(rows: pa.Table) -> pa.Table:
 
 
 def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): pieces that spell the training words, -1 tokens, -2 distinct words."""
+    """(key, n): pieces that spell the training words, -1 tokens, -2 distinct words, -3 words that occur once."""
     vocab, found = vocabulary(), Counter()
     for batch in batches:
         for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -221,11 +226,12 @@ def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.update({i: int(uses[i]) for i in np.flatnonzero(uses).tolist()})
             found[-1] += sum(counts)
             found[-2] += len(seen)
+            found[-3] += sum(c == 1 for _, c in seen)
     yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.int32()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a Column; None: crc32(id as text) % 10 = 0."""
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score. held_out: a Column; None: crc32(id as text) % 10 = 0."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.crc32(id_text(id_col).cast("binary")) % 10 == 0 if held_out is None else held_out
@@ -234,7 +240,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     sent = made.where("bucket >= 0").select("bucket", "batch", "a", "b")
     added = materialise(sent.groupBy("bucket").applyInArrow(add_up, "bucket int, words binary, counts binary"), "words")
 
-    stats = {r.key: r.n for r in added.select("words", "counts").mapInArrow(statistics, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # as many rows as pieces, and two
+    stats = {r.key: r.n for r in added.select("words", "counts").mapInArrow(statistics, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # as many rows as pieces, and three
     ends = chosen.where("not held").count()
     n_train, distinct = stats.get(-1, 0) + ends, stats.get(-2, 0) + (ends > 0)
     vocab = vocabulary()
@@ -243,6 +249,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         if k >= 0:
             uses[k] = n
     log_weight, log_end = vocab.weights(uses, ends)
+    new = min(0.5, (stats.get(-3, 0) + 1) / (n_train + 2)) if n_train else 0.9
+    starts = np.exp(log_weight[vocab.starting]).sum()
+    stop = (starts + math.exp(log_end)) / starts  # a spelt word: a piece that starts one, others, and no further one
+    log_spelt = (math.log(new) + math.log(stop)) / LN10
+    known_end = math.log10((1 - new) * ends / n_train if ends else (1 - new) / 2)
     model = spark.sparkContext.broadcast(log_weight)  # one number a piece
 
     def marginals(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -266,7 +277,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x, "<i8") for x in asked["counts"].to_pylist())])
         logs = np.concatenate([np.zeros(0), *(np.frombuffer(x, float) for x in asked["logs"].to_pylist())])
         base = np.log10(counts + 0.1)
-        out: list[list] = [[] for _ in range(4)]
+        with np.errstate(divide="ignore"):
+            mixed = np.logaddexp(np.log((1 - new) * counts / max(1, n_train)), (logs + log_spelt) * LN10) / LN10
+        out: list[list] = [[] for _ in range(5)]
         ids, held = bag["ids"][0].as_py(), bag["held"][0].as_py()
         sizes, steps, tfs = unpack(bag["a"][0].as_py(), "<u4"), unpack(bag["b"][0].as_py(), "<u4").astype(np.int64), unpack(bag["tfs"][0].as_py(), "<u4").astype(np.int64)
         at = 0
@@ -274,16 +287,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             own, tf = np.cumsum(steps[at : at + n]), tfs[at : at + n]
             at += n
             tokens = int(tf.sum()) + 1
-            for c, x in zip(out, (tokens, int(tf[counts[own] > 0].sum()) + (ends > 0), float(tf @ base[own]) + base_end - tokens * base_all, float(tf @ logs[own]) + log_end / LN10), strict=True):
+            for c, x in zip(out, (tokens, int(tf[counts[own] > 0].sum()) + (ends > 0), float(tf @ base[own]) + base_end - tokens * base_all, float(tf @ mixed[own]) + known_end, float(tf @ logs[own]) + log_end / LN10), strict=True):
                 c.append(x)
         return pa.table({
             id_col: pa.array(ids, bag["ids"].type.value_type), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
             "train_tokens": pa.array([n_train] * len(ids), pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64()),
+            "lattice_score": pa.array(out[4], pa.float64()),
         })
 
     returned = sent.groupBy("bucket").cogroup(added.groupBy("bucket")).applyInArrow(marginals, "batch bigint, bucket int, counts binary, logs binary")
     bags = made.where("bucket = -1").select("batch", "a", "b", "ids", "held", "tfs")
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
     return returned.groupBy("batch").cogroup(bags.groupBy("batch")).applyInArrow(finish, schema)
 
 

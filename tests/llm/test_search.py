@@ -144,7 +144,7 @@ def test_op7_base(request, which):
     want = Counter((i, held, len(w) + 1, sum(counts[x] > 0 for x in [*w, None]), total, round(sum(math.log10((counts[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in [*w, None]), 4)) for i, w, held in rows)
     got = op7_lattice.score(docs).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert all(math.isfinite(r.score) and r.score < 0 and math.isfinite(r.lattice_score) and r.lattice_score < 0 for r in got)
 
 
 def slow_marginal(s, p):
@@ -203,6 +203,13 @@ def test_op7_score(spark):
                 p[c] = math.prod(weight[lib.piece_to_id(f"<0x{b:02X}>")] for b in c.encode())
     want = {i: math.log10((len(train) + 1) / total) + sum(math.log10(slow_marginal("▁" + w, p)) for w in words(t)) for i, t in rows}
     got = op7_lattice.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.lattice_score for r in got} == pytest.approx(want)
+    known = Counter(w for i in train for w in words(rows[i][1]))
+    tokens = sum(known.values()) + len(train)
+    u = min(0.5, (sum(c == 1 for c in known.values()) + 1) / (tokens + 2))
+    start = sum(w for i, w in weight.items() if group[i][1])
+    spelt = lambda w: slow_marginal("▁" + w, p) * (start + (len(train) + 1) / total) / start
+    want = {i: math.log10((1 - u) * len(train) / tokens) + sum(math.log10((1 - u) * known[w] / tokens + u * spelt(w)) for w in words(t)) for i, t in rows}
     assert {r.doc_id: r.score for r in got} == pytest.approx(want)
 
 
