@@ -1,12 +1,13 @@
 """Op 2: quality rules.
 
 Base rules count words, symbols, repeated lines and repeated three-word windows. A logistic regression over hashed words and
-hashed byte n-grams (3 and 4) is trained on labelled rows, its logits are calibrated on rows held back (Platt), and every
+hashed character n-grams (3 and 4 code points) is trained on labelled rows, its logits are calibrated on rows held back (Platt), and every
 text is scored in Arrow batches against a fixed threshold.
 
 A feature is a hashed gram's share of all grams of its family, so a score is a mean of weights: whole texts, one pass.
-Training takes TRAIN_ROWS labelled rows at most, those whose ids hash lowest. Without labels of both kinds the verdict is
-true. Null text: no words, so it fails the base rules. A null doc_id keeps its row.
+Training takes TRAIN_ROWS labelled ids at most, those that hash lowest, and of texts under one id the least. Without labels of
+both kinds the verdict is true. Null text: no words, so it fails the base rules. A null doc_id keeps its row, and so do
+repeated rows and ids. Very long texts are scored whole. An empty table gives an empty table. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -68,22 +69,26 @@ def base_counts(raw: bytes, n_chars: int, ids: np.ndarray) -> tuple[int, int, in
     return word_chars, n_symbols, n_dup, n_repeat
 
 
-def byte_buckets(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte 3-grams and 4-grams that begin at each position (too short: empty)."""
-    x = raw.astype(np.uint32)
-    three = x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16) if len(x) > 2 else x[:0]
-    four = three[:-1] | x[3:] << np.uint32(24) if len(x) > 3 else x[:0]
-    mix = lambda v, c: (v * np.uint32(c) ^ (v * np.uint32(c) >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(18)
-    return mix(three, 0x9E3779B1), mix(four, 0x85EBCA77)
+def code_points(text: str, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).astype(np.uint32) if len(raw) == len(text) else np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def gram_buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the runs of three and four code points that begin at each position (too short: empty)."""
+    three = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D) if len(x) > 2 else x[:0]
+    four = three[:-1] + x[3:] * np.uint32(0x27D4EB2F) + np.uint32(0x165667B1) if len(x) > 3 else x[:0]
+    mix = lambda v: (v ^ v >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(18)
+    return mix(three), mix(four)
 
 
 def word_bucket(word: bytes) -> int:
     return zlib.crc32(word) & (BUCKETS - 1)
 
 
-def sparse_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def sparse_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's features."""
-    grams = [np.fromiter(map(word_bucket, raw.split()), np.int64), *byte_buckets(np.frombuffer(raw, np.uint8))]
+    raw = text.encode()
+    grams = [np.fromiter(map(word_bucket, raw.split()), np.int64), *gram_buckets(code_points(text, raw))]
     index, value = [], []
     for k, g in enumerate(grams):
         at, n = np.unique(g, return_counts=True)
@@ -146,11 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model
         labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # `limit` rows
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # however often an id repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [sparse_features(t.encode()) for t in texts(batch)]
+            made = [sparse_features(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
                 ["doc_id", "quality", "at", "value"],
@@ -182,8 +188,8 @@ def score_batch(rows: list[str], model: Model | None) -> dict[str, list]:
         weights = model.weights.reshape(FAMILIES, BUCKETS)
         own = np.fromiter(map(word_bucket, vocabulary), np.int64, len(vocabulary))
         logits = []
-        for raw, x in zip(raws, ids, strict=True):
-            three, four = byte_buckets(np.frombuffer(raw, np.uint8))
+        for text, raw, x in zip(rows, raws, ids, strict=True):
+            three, four = gram_buckets(code_points(text, raw))
             z = model.bias
             for k, g in enumerate((own[x], three, four)):
                 if len(g):

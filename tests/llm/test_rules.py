@@ -44,6 +44,23 @@ def test_op2_learns(spark):
     assert len(right) > 80 and np.mean(right) > 0.95
 
 
+def test_op2_grams():
+    """Grams are of code points: the same whether a text is stored in one byte each or more."""
+    a, b = op2_quality.gram_buckets(op2_quality.code_points("héllo", "héllo".encode()))
+    c, d = op2_quality.gram_buckets(np.array([ord(x) for x in "héllo"], np.uint32))
+    assert a.tolist() == c.tolist() and b.tolist() == d.tolist() and len(a) == 3 and len(b) == 2 and max(*a, *b) < op2_quality.BUCKETS
+    assert op2_quality.gram_buckets(op2_quality.code_points("hello", b"hello"))[0][1:].tolist() == op2_quality.gram_buckets(op2_quality.code_points("éello", "éello".encode()))[0][1:].tolist()
+    assert [len(g) for g in op2_quality.gram_buckets(op2_quality.code_points("日本", "日本".encode()))] == [0, 0]
+
+
+def test_op2_bounded_sample(spark):
+    """A labelled id that repeats brings one row, whatever the layout."""
+    docs = spark.createDataFrame([(i % 4, f"good words here {i}" if i % 2 else f"bad stuff {i}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] * 3, "doc_id bigint, quality int, toxic int")
+    a, b = (op2_quality.train(docs.repartition(n), labels, limit=3) for n in (1, 7))
+    assert (a is None) == (b is None) and (a is None or (a.weights == b.weights).all())
+
+
 def test_op2_keeps_columns_and_edges(odd_documents, no_documents, some_labels):
     kept = op2_quality.kept_documents(odd_documents, some_labels)
     assert kept.columns == odd_documents.columns and kept.count() > 0
