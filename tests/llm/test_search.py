@@ -93,20 +93,101 @@ CHAT = [
     (3, None, "user", "> Green tea."),
     (4, 7, "user", ""),
     (4, 7, "user", ""),
+    (5, 0, "user", "one line\ntwo line\nthree line\n\nnext part\n\nlast part"),
+    (5, 1, "user", "> two line\n> three line\nlines of a paragraph"),
+    (5, 2, "user", "> next part\n>\n> last part\ntwo of three paragraphs"),
+    (5, 3, "user", "> three line\n> \n> next part\nacross paragraphs"),
+    (5, 4, "user", "> one line two\n> line three line\nwrapped anew"),
+    (5, 5, "user", "> two line\n> one line\nin another order"),
+    (5, 6, "user", "> wrapped anew\n> On Monday Bob wrote:\n> > one line\n> > two line\nnested, with its attribution"),
+    (5, 7, "user", "x" * 250 + " wrote:\n> wrapped anew\nlong attribution"),
 ]
 
 
 def test_op5(spark):
-    got = {(r.conv_id, r.turn): r for r in op5_chat.conversations(spark.createDataFrame([(*c, 1) for c in CHAT], "conv_id bigint, turn bigint, role string, text string, parent_turn int")).collect()}
+    got = {(r.conv_id, r.turn): r for r in op5_chat.conversations(spark.createDataFrame([(*c, 1, 2) for c in CHAT], "conv_id bigint, turn bigint, role string, text string, parent_turn int, hash int")).collect()}
     parent = lambda c, t: (got[c, t].parent_conv, got[c, t].parent_turn, got[c, t].root_turn, got[c, t].depth)
     assert parent(1, 0) == (None, None, 0, 0) and parent(1, 2) == (1, 0, 0, 1) and parent(1, 3) == (1, 0, 0, 1)
     assert parent(1, 4) == (None, None, 4, 0) and parent(1, 5) == (1, 1, 1, 1)
     assert parent(2, 0) == (1, 1, 0, 0)  # a passage of another conversation
     assert got[1, 2].text == "I meant black tea." and got[1, 3].text == "Assam then." and got[1, 3].max_level == 2 and got[1, 3].n_quotes == 2
     assert got[2, 1].text == "" and got[None, 1].root_turn == 1 and got[3, None].root_turn is None
+    assert [parent(5, t)[1] for t in range(1, 8)] == [0, 0, 0, 0, None, 4, 4]
+    assert got[5, 7].text == "long attribution" and got[5, 6].text == "nested, with its attribution"
     assert len(got) == len(CHAT) - 1
 
 
+def slow_links(rows):
+    """For each message the turn that its first linking passage is held by, by comparing lines."""
+    parsed, out = [], {}
+    for t, text in rows:
+        _, own, _, quotes = op5_chat.parse(text)
+        out[t] = None
+        for _, lines in quotes:
+            for u, lines_there in reversed(parsed):
+                kept = [x for x in lines_there if x]
+                if any(kept[i : i + len(lines)] == lines for i in range(len(kept) - len(lines) + 1)):
+                    out[t] = u
+                    break
+            if out[t] is not None:
+                break
+        parsed.append((t, own))
+    return out
+
+
+def quoted_corpus(seed, n):
+    """Messages of several paragraphs; replies quote runs of lines of an earlier one, some with quotes inside or an attribution."""
+    rng, rows, said, truth = random.Random(seed), [], [], {}
+    for t in range(n):
+        own = []
+        for _ in range(rng.randint(1, 3)):
+            own += [f"line {rng.randint(0, 10**6)} of {t} is  Said" for _ in range(rng.randint(1, 4))] + [""]
+        head = []
+        if t and rng.random() < 0.8:
+            p = rng.randrange(t)
+            lines = said[p]
+            a = rng.randrange(len(lines))
+            b = rng.randint(a + 1, len(lines))
+            quote = [x for x in lines[a:b]]
+            if any(quote):
+                truth[t] = p
+                if rng.random() < 0.5:
+                    head.append(f"On day {t} someone wrote:")
+                head += [f"> {x}".upper() if rng.random() < 0.2 else f"> {x}" for x in quote]
+                if p in truth and rng.random() < 0.4:
+                    head += [f"> Then x{p} wrote:"] * (rng.random() < 0.5) + [f"> > {x}" for x in said[truth[p]] if x]
+        said.append(own)
+        rows.append((t, "\n".join([*head, *own])))
+    return rows, truth
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op5_generated(spark, seed):
+    """Links against line comparison, recall against what was quoted, and the order against a walk of the tree."""
+    rows, truth = quoted_corpus(seed, 250)
+    got = op5_chat.conversations(spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id bigint, turn bigint, role string, text string").repartition(4)).collect()
+    links = {r.turn: r.parent_turn for r in got}
+    assert links == slow_links(rows)
+    assert sum(links[t] == p for t, p in truth.items()) >= 0.99 * len(truth)
+    replies = {}
+    for t, p in sorted(links.items()):
+        replies.setdefault(p, []).append(t)
+
+    def walk(t):
+        return [t, *(x for r in replies.get(t, []) for x in walk(r))]
+
+    assert [r.turn for r in got] == [x for root in replies[None] for x in walk(root)]
+    assert all(r.place == walk(r.root_turn).index(r.turn) for r in got)
+
+
+def test_op5_long_texts(spark):
+    """Very long messages, and a quote of thousands of lines."""
+    lines = [f"line {i}" for i in range(20_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join(f"> {x}" for x in lines[5000:9000]) + "\nyes"), (1, 2, "user", "z" * 2_000_000), (1, 3, "user", "> " + "z" * 2_000_000)]
+    got = {r.turn: (r.parent_turn, r.n_quotes) for r in op5_chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (0, 1), 2: (None, 0), 3: (2, 1)}
+
+
 def test_op5_long_threads(spark):
     """A chain of quotes across many blocks of turns, against a walk."""
     rng = random.Random(7)
@@ -123,7 +204,7 @@ def test_op5_long_threads(spark):
         said.append(text)
     got = op5_chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
     assert {r.turn: (r.root_turn, r.depth) for r in got} == {t: (root[t], depth[t]) for t in root}
-    assert [(r.root_turn, r.turn) for r in got] == sorted((root[t], t) for t in root)
+    assert [r.root_turn for r in got] == sorted(root[t] for t in root)
 
 
 def test_op5_table(spark, small):
