@@ -24,8 +24,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 500_000, 48, 1_000_000
 LIMIT = 2048
 #: The word rule of the vocabulary file's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NEVER = 1 << 30
+NEVER, ONE = 1 << 30, [1]
 SIGMA, SMALL_SIGMA = "Σ", "σ"
 
 
@@ -102,14 +104,18 @@ class WordBpe:
         self.fits_memo: dict[int, bool] = {}
         #: By chunk (text without white space) the steps of its counts, one byte for each code point; None if a step needs more.
         self.chunks: dict[str, bytes | None] = {}
-        # by the last two bytes (or the one byte), the lengths that tokens with this end have, longest first
+        # by the last three or two bytes, the lengths that tokens with this end have, longest first; else only bytes fit
         self.open_lengths, self.closed_lengths = self._lengths(self.open), self._lengths(self.closed)
 
     @staticmethod
     def _lengths(tokens: dict[bytes, int]) -> dict[bytes, list[int]]:
         found: dict[bytes, set[int]] = {}
         for raw in tokens:
-            found.setdefault(raw[-2:], {1}).add(len(raw))
+            if len(raw) > 1:
+                found.setdefault(raw[-3:], {1}).add(len(raw))
+        for tail, sizes in found.items():
+            if len(tail) == 3 and tail[1:] in tokens:
+                sizes.add(2)
         return {k: sorted(v, reverse=True) for k, v in found.items()}
 
     # --- the recursion ---
@@ -152,53 +158,60 @@ class WordBpe:
             else:
                 j -= 1
 
-    def extend(self, word: bytes, last: list[int], count: list[int], upto: int) -> None:
-        """Last tokens and counts of the open prefixes up to this length; the lists hold those of shorter ones already."""
-        get, memo, lengths = self.open.get, self.fits_memo, self.open_lengths
-        for i in range(len(last), upto + 1):
-            for size in lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or lengths[word[i - 1 : i]]:
-                if size <= i:
-                    t = get(word[i - size : i])
-                    if t is not None:
-                        if size == i:
+    def grow(self, word: bytes, last: list[int], count: list[int], closed: list[int]) -> None:
+        """The last tokens and counts of a word's open prefixes and the counts of its closed ones, by length in bytes (inside a
+        code point: -1). The lists hold those of some shorter prefixes already."""
+        open_get, closed_get, memo = self.open.get, self.closed.get, self.fits_memo
+        open_lengths, closed_lengths = self.open_lengths.get, self.closed_lengths.get
+        n = len(word)
+        for i in range(min(len(last), len(closed)), n + 1):
+            three, two = word[i - 3 : i] if i > 2 else word[:i], word[i - 2 : i]
+            if i == len(closed):
+                if i < n and word[i] & 0xC0 == 0x80:
+                    closed.append(-1)
+                else:
+                    for size in closed_lengths(three) or closed_lengths(two) or ONE:
+                        if size < i:
+                            t = closed_get(word[i - size : i])
+                            if t is not None:
+                                u = last[i - size]
+                                fit = memo.get(u << 20 | t)
+                                if self.fits(u, t) if fit is None else fit:
+                                    closed.append(count[i - size] + 1)
+                                    break
+                        elif size == i and word[:i] in self.closed:
+                            closed.append(1)
                             break
-                        u = last[i - size]
-                        fit = memo.get(u << 20 | t)
-                        if self.fits(u, t) if fit is None else fit:
+            if i == len(last) and i < n:
+                for size in open_lengths(three) or open_lengths(two) or ONE:
+                    if size < i:
+                        t = open_get(word[i - size : i])
+                        if t is not None:
+                            u = last[i - size]
+                            fit = memo.get(u << 20 | t)
+                            if self.fits(u, t) if fit is None else fit:
+                                last.append(t)
+                                count.append(count[i - size] + 1)
+                                break
+                    elif size == i:
+                        t = open_get(word[:i])
+                        if t is not None:
+                            last.append(t)
+                            count.append(1)
                             break
-            last.append(t)
-            count.append(count[i - size] + 1)
-
-    def close(self, word: bytes, last: list[int], count: list[int], i: int) -> int:
-        """Tokens of the closed prefix of length i > 0, from the open ones."""
-        get, memo = self.closed.get, self.fits_memo
-        for size in self.closed_lengths.get(word[i - 2 : i] if i > 1 else word[:1]) or self.closed_lengths[word[i - 1 : i]]:
-            if size <= i:
-                t = get(word[i - size : i])
-                if t is not None:
-                    if size == i:
-                        return 1
-                    u = last[i - size]
-                    fit = memo.get(u << 20 | t)
-                    if self.fits(u, t) if fit is None else fit:
-                        return count[i - size] + 1
-        raise AssertionError("a byte with the end mark always fits")
 
     def prefixes(self, words: set[str]) -> dict[str, list[int]]:
         """For distinct words the closed counts at the ends of their code points. In sorted order a word takes over all that
         it shares with the one before."""
         found, last, count, closed, before = {}, [-1], [0], [0], b""
-        for raw, word in sorted((w.encode(), w) for w in words):
+        for raw, word in sorted([(w.encode(), w) for w in words]):
             n, k = len(raw), 0
             most = min(n, len(closed) - 1)
             while k < most and raw[k] == before[k]:
                 k += 1
             del last[k + 1 :], count[k + 1 :], closed[k + 1 :]
-            self.extend(raw, last, count, n - 1)
-            whole = len(word) == n  # a code point a byte
-            for i in range(len(closed), n + 1):
-                closed.append(self.close(raw, last, count, i) if whole or i == n or raw[i] & 0xC0 != 0x80 else -1)
-            found[word] = closed[1:] if whole else [c for c in closed[1:] if c >= 0]
+            self.grow(raw, last, count, closed)
+            found[word] = closed[1:] if len(word) == n else [c for c in closed[1:] if c >= 0]
             before = raw
         return found
 
@@ -229,6 +242,10 @@ class WordBpe:
         counts = self.prefixes(wanted)
         out = {}
         for chunk, own in split.items():
+            if len(own) == 1 and own[0][0] != "'":
+                found = counts[own[0]]
+                out[chunk] = list(map(sub, found, [0, *found]))
+                continue
             at, found = 0, []
             for w in own:
                 inner = counts[w]
@@ -236,7 +253,7 @@ class WordBpe:
                     inner = [counts["'"][0], *(counts["'"][0] + c for c in counts[w[1:]][:-1]), inner[-1]]
                 found += [c + at for c in inner]
                 at = found[-1]
-            out[chunk] = [b - a for a, b in zip([0, *found], found, strict=False)]
+            out[chunk] = list(map(sub, found, [0, *found]))
         return out
 
     def segments(self, text: str) -> list[str]:
@@ -271,9 +288,9 @@ class WordBpe:
         wide: dict[str, list[int]] = {}
         narrow: dict[str, bytes] = {}
         for chunk, found in self.steps(new).items():
-            if len(found) and -128 <= min(found) and max(found) <= 127:
-                narrow[chunk] = np.array(found, np.int8).tobytes()
-            else:
+            try:
+                narrow[chunk] = array("b", found).tobytes()
+            except OverflowError:
                 wide[chunk] = found
         kept = {c: x for c, x in narrow.items() if len(c) <= CACHE_CHARS}
         cache.update(kept)
