@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, texts
 from .op9_bpe import byte_alphabet, char_class, spans_of, unlike_classes
 
-CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 500_000, 48, 1_000_000
+CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 1_200_000, 48, 1_000_000
 LIMIT = 2048
 #: The word rule of the vocabulary file's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
