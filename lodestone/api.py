@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RANKING, Ranking
@@ -50,8 +50,9 @@ def search(index: Index, queries: DataFrame, page: int = 1, snippets: bool = Tru
     p: Ranking = replace(RANKING, **params)
     terms = materialise(query_terms(queries), "terms")
     hits = rank.bm25f(terms, index.postings, index.terms, index.lengths, index.corpus, p)
-    ranked = rank.ranked(hits, index.ranks, index.pages, p).withColumn("total_results", F.count("*").over(Window.partitionBy("qid")))
-    out = rank.assembled(ranked, index.pages, page, p).select("qid", "slot", "page_id", "url", "title", "bm25", "pagerank", "final", "total_results")
+    ranked = materialise(rank.ranked(hits, index.ranks, index.pages, p), "ranked")
+    totals = ranked.groupBy("qid").agg(F.count("*").alias("total_results"))
+    out = rank.assembled(ranked, index.pages, page, p).join(totals, "qid").select("qid", "slot", "page_id", "url", "title", "bm25", "pagerank", "final", "total_results")
     if snippets:
         out = materialise(out, "results")
         bodies = out.join(index.pages.select("page_id", "body_text"), "page_id").select("qid", "page_id", "body_text")
@@ -59,18 +60,17 @@ def search(index: Index, queries: DataFrame, page: int = 1, snippets: bool = Tru
     return out
 
 
-def explain(index: Index, queries: DataFrame, **params) -> dict[str, DataFrame]:
-    """The stages of a search by name: tokens, lookups, bm25, combined, freshness, ranking."""
+def explain(index: Index, queries: DataFrame, top: int = 10, **params) -> dict[str, DataFrame]:
+    """The stages of a search by name: tokens, lookups, bm25, combined, freshness, ranking (its first `top`)."""
     p: Ranking = replace(RANKING, **params)
     terms = materialise(query_terms(queries), "terms")
     hits = materialise(rank.bm25f(terms, index.postings, index.terms, index.lengths, index.corpus, p), "bm25")
     both = rank.combined(hits, index.ranks, p.alpha)
     fresh = rank.linear_freshness(index.pages, p=p)
     final = both.join(fresh, "page_id").withColumn("final", F.col("combined") * F.col("boost"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("final", 12)), "page_id")
     return {
         "tokens": text.explain_tokens(queries), "lookups": terms.join(index.terms, "term", "left"), "bm25": hits, "combined": both,
-        "freshness": fresh, "ranking": final.withColumn("position", F.row_number().over(order)),
+        "freshness": fresh, "ranking": rank.top(final, top),
     }
 
 

@@ -7,42 +7,118 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL, Retrieval
+from ..storage import materialise
 
 Embedder = Callable[[list[str]], "list[list[float]] | None"]
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Vectors to a block of chunks and of queries, and cells of the join for each shuffle partition at most.
+CHUNKS, ASKED, CELLS = 4096, 256, 8
 
 
-def similarities(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """vid, chunk_id, page_id, sim: cosine of every query vector with every embedded chunk. The queries are few by
-    definition (one request's fan-out) and are broadcast."""
-    q = queries.select("vid", F.col("embedding").alias("q"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("nq"))
-    c = chunks.where("embedding is not null").select("chunk_id", "page_id", "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("nc"))
-    return c.join(F.broadcast(q)).select("vid", "chunk_id", "page_id", (_dot(F.col("q"), F.col("embedding")) / (F.col("nq") * F.col("nc"))).alias("sim"))
+def _blocks(vectors: DataFrame, ids: list[str], size: int) -> DataFrame:
+    """dim, ids (arrays), vectors (unit length, packed doubles): rows in blocks by dimension. Null vectors take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(len(ids))).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths > 0]).tolist():
+                rows = np.flatnonzero(lengths == dim)
+                for k in range(0, len(rows), size):
+                    part = pa.array(rows[k : k + size])
+                    x = batch.column(len(ids)).take(part).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([batch.column(i).take(part).to_pylist()], pa.list_(pa.int64())) for i in range(len(ids))), pa.array([unit.tobytes()], pa.binary())], ["dim", *ids, "vectors"])
+
+    rows = vectors.where("embedding is not null").select(*(F.col(c).cast("bigint") for c in ids), "embedding")
+    return rows.mapInArrow(run, "dim int, " + ", ".join(f"{c} array<bigint>" for c in ids) + ", vectors binary")
+
+
+def similarities(queries: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:
+    """The ids of queries (all columns but embedding), chunk_id, page_id, sim: cosine of every query vector with every embedded
+    chunk, or with the `top` best of each block of chunks. Blocks of chunks and blocks of queries meet once each, by an equi-join
+    on a cell, whatever the number of either; a zero vector is like nothing (0)."""
+    names = [c for c in queries.columns if c != "embedding"]
+    stored = materialise(_blocks(chunks, ["chunk_id", "page_id"], CHUNKS), "chunk-blocks")
+    cells = max(1, min(stored.count(), CELLS * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    asked = _blocks(queries, names, ASKED).withColumnRenamed("vectors", "asked").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
+    met = stored.withColumn("cell", F.pmod(F.xxhash64(F.element_at("chunk_id", 1)), F.lit(cells))).join(asked, ["cell", "dim"]).select("dim", "chunk_id", "page_id", "vectors", "asked", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim = batch.column(0)[k].as_py()
+                chunk, page = (np.array(batch.column(i)[k].as_py(), np.int64) for i in (1, 2))
+                own, other = (np.frombuffer(batch.column(i)[k].as_buffer()).reshape(-1, dim) for i in (3, 4))
+                sims = other @ own.T
+                if top is not None and top < len(chunk):
+                    order = np.array([np.lexsort((chunk, -np.round(s, 9)))[:top] for s in sims])
+                else:
+                    order = np.broadcast_to(np.arange(len(chunk)), sims.shape)
+                of = np.repeat(np.arange(len(sims)), order.shape[1])
+                at = order.ravel()
+                ids = [pa.array(np.array(batch.column(5 + i)[k].as_py(), np.int64)[of]) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(chunk[at]), pa.array(page[at]), pa.array(sims[of, at])], [*names, "chunk_id", "page_id", "sim"])
+
+    return met.mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", chunk_id bigint, page_id bigint, sim double")
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, top: int = RETRIEVAL.vector_top) -> DataFrame:
-    order = Window.partitionBy("vid").orderBy(F.desc(F.round("sim", 9)), "chunk_id")
-    return similarities(queries, chunks).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
+    """The best chunks of each query vector, with their rank rn: exact."""
+    names = [c for c in queries.columns if c != "embedding"]
+    order = Window.partitionBy(*names).orderBy(F.desc(F.round("sim", 9)), "chunk_id")
+    return similarities(queries, chunks, top).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
+
+
+def approximate_search(queries: DataFrame, chunks: DataFrame, top: int = RETRIEVAL.vector_top, bits: int = 8, tables: int = 6, seed: int = 3) -> DataFrame:
+    """As vector_search over an approximate index: chunks lie in buckets by the signs of random projections, in several tables; a
+    query looks into its bucket of each and those one bit away. Candidates get exact similarities."""
+    names = [c for c in queries.columns if c != "embedding"]
+
+    def keyed(vectors: DataFrame, ids: list[str], near: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = pc.list_value_length(batch.column(len(ids))).to_numpy(zero_copy_only=False)
+                for dim in np.unique(lengths[lengths > 0]).tolist():
+                    rows = np.flatnonzero(lengths == dim)
+                    x = batch.column(len(ids)).take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    planes = np.random.default_rng(seed + dim).standard_normal((tables, bits, dim))
+                    code = ((np.einsum("tbd,nd->ntb", planes, x) > 0) << np.arange(bits)).sum(axis=2)
+                    flips = np.r_[0, 1 << np.arange(bits)] if near else np.zeros(1, np.int64)
+                    keys = (np.arange(tables)[None, :, None] << 32 | (code[:, :, None] ^ flips)).reshape(len(rows), -1)
+                    of = pa.array(np.repeat(rows, keys.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(ids) + 1)), pa.array(keys.ravel(), pa.int64())], [*ids, "embedding", "key"])
+
+        rows = vectors.where("embedding is not null").select(*(F.col(c).cast("bigint") for c in ids), F.col("embedding").cast("array<double>").alias("embedding"))
+        return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ids) + ", embedding array<double>, key bigint")
+
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    stored = keyed(chunks, ["chunk_id", "page_id"], False).withColumnRenamed("embedding", "own")
+    met = keyed(queries, names, True).join(stored, "key").where(F.size("own") == F.size("embedding")).dropDuplicates([*names, "chunk_id"])
+    norm = F.sqrt(dot("own", "own") * dot("embedding", "embedding"))
+    scored = met.select(*names, "chunk_id", "page_id", F.when(norm > 0, dot("own", "embedding") / norm).otherwise(0.0).alias("sim"))
+    order = Window.partitionBy(*names).orderBy(F.desc(F.round("sim", 9)), "chunk_id")
+    return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
 
 
 def hybrid(vectors: DataFrame, keyword: DataFrame, chunks: DataFrame, p: Retrieval = RETRIEVAL) -> DataFrame:
     """qid, chunk_id, page_id, vector_score, keyword_score, combined, rn: best chunk per page, top_k pages.
 
-    vectors: chunk_id, page_id, sim (top lists of the fan-out); keyword: qid, page_id, score (all matches)."""
-    best = vectors.groupBy("chunk_id", "page_id").agg(F.max("sim").alias("sim"))
+    vectors: qid, chunk_id, page_id, sim (top lists of each query's fan-out); keyword: qid, page_id, score (all matches)."""
+    best = vectors.groupBy("qid", "chunk_id", "page_id").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "page_id")
     pages = keyword.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= p.keyword_pages)
-    words = pages.join(chunks.select("chunk_id", "page_id"), "page_id").select("qid", "chunk_id", "page_id", "score")
-    asked = keyword.select("qid").distinct()
-    both = asked.join(F.broadcast(best)).join(words.withColumnRenamed("page_id", "kp"), ["qid", "chunk_id"], "full").withColumn("page_id", F.coalesce("page_id", "kp"))
+    words = pages.join(chunks.select("chunk_id", "page_id"), "page_id").select("qid", "chunk_id", F.col("page_id").alias("kp"), "score")
+    both = best.join(words, ["qid", "chunk_id"], "full").withColumn("page_id", F.coalesce("page_id", "kp"))
+    # a query has some tens of rows from here on
     over = Window.partitionBy("qid")
     spread = lambda c: F.when(F.max(c).over(over) != F.min(c).over(over), F.max(c).over(over) - F.min(c).over(over)).otherwise(1.0)
     score = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise((F.col(c) - F.min(c).over(over)) / spread(c))

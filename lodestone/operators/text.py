@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
@@ -64,12 +64,24 @@ def chunked(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint"), text.alias("text")).mapInArrow(run, "page_id bigint, chunk_idx int, content string")
 
 
+def _deletions(word: Column, most: int) -> Column:
+    """The first seven letters of a word with up to `most` of them left out, each result once."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, F.length(x))))
+    found = level = F.array(F.substring(word, 1, 7))
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda x: F.length(x) > 0), without)))
+        found = F.concat(found, level)
+    return F.array_distinct(found)
+
+
 def nearest_words(words: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
-    """word, candidate, distance for all pairs at most `most` edits apart: an equi-join on length, over a band of lengths."""
-    band = words.select("word", F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("size"))
-    sized = vocab.select(F.col("word").alias("candidate"), F.length("word").alias("size"))
-    met = band.join(sized, "size").select("word", "candidate", F.levenshtein("word", "candidate", most).alias("distance"))
-    return met.where("distance >= 0")
+    """word, candidate, distance for all pairs at most `most` edits apart. Two such words' beginnings become equal by leaving out
+    at most that many letters of each, so an equi-join on what deletions leave finds them all; the distance is then computed."""
+    spread = words.select("word", F.explode(_deletions(F.col("word"), most)).alias("left"))
+    known = vocab.select(F.col("word").alias("candidate")).withColumn("left", F.explode(_deletions(F.col("candidate"), most)))
+    near = F.abs(F.length("word") - F.length("candidate")) <= most
+    met = spread.join(known, "left").where(near).select("word", "candidate").distinct()
+    return met.withColumn("distance", F.levenshtein("word", "candidate", most)).where("distance >= 0")
 
 
 def corrected(queries: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -59,10 +59,10 @@ QUERIES: dict[str, str] = {
             not MATCH(lower(left(body_text, 1000)), R'({REDIRECTS})') as no_redirect,
             row_number() over (partition by content_hash order by page_id) = 1 as first_of_hash
         from t_pages""",
-    "b11_depth_limit": f"select level as depth, level + 1 <= {CRAWL.max_depth} as enqueue_links, level > {CRAWL.max_depth} as skip from (select page_id % 6 as level from t_pages) p",
+    "b11_depth_limit": f"select page_id, level as depth, level + 1 <= {CRAWL.max_depth} as enqueue_links, level > {CRAWL.max_depth} as skip from (select page_id, depth as level from t_bfs) p",
     "b12_js_only": """
         select p.page_id, length(body_text) < 500 and coalesce(n, 0) = 0 as js_only from t_pages p left join (select source_id, count(*) as n from t_links group by source_id) l on l.source_id = p.page_id""",
-    "b13_rerank_cut": "select page_id, rerank_score is null or rerank_score > -8 as kept from (select page_id, case when page_id % 4 = 0 then null else cast(page_id % 21 as double) - 15 end as rerank_score from t_pages) p",
+    "b13_rerank_cut": f"select qid, page_id, {R6('rerank_score')} as rerank_score, rerank_score is null or rerank_score > -8 as kept from t_rerank",
     "b14_overview_gate": """
         select q.qid, coalesce(n, 0) >= 3 as asked, coalesce(c, 0) >= 2 as answered from t_queries q
         left join (select b.qid, count(*) as n from t_bm25 b group by b.qid) r on r.qid = q.qid
@@ -76,9 +76,15 @@ QUERIES: dict[str, str] = {
     # --- crawl ---
     "c9_content_hash": "select page_id, md5(body_text) as content_hash from t_pages",
     "c10_content_dedup": "select page_id, content_hash, row_number() over (partition by content_hash order by page_id) > 1 as duplicate, count(*) over (partition by content_hash) > 1 as refresh_rejects from t_pages",
-    "c12_seed_clear": "select url, 0 as depth from t_pages where page_id < 5 union select url, 1 as depth from t_pages where page_id between 5 and 8",
-    "c13_queue_states": """
-        select status, count(*) as n from (select case page_id % 5 when 0 then 'pending' when 1 then 'crawling' when 2 then 'crawled' when 3 then 'skipped' else 'failed' end as status from t_pages) q group by status""",
+    "c12_seed_clear": """
+        select url, 0 as depth from t_pages where not is_dead
+        union all select distinct l.target_url, 1 from t_links l left join (select url from t_pages where not is_dead) p on p.url = l.target_url where p.url is null""",
+    "c13_queue_states": f"""
+        select status, count(*) as n from (
+            select p.page_id, case when b.page_id is null then 'pending' when d.page_id is not null then 'failed' when b.depth > {CRAWL.max_depth} or cardinality(WORDS(p.body_text)) < {CRAWL.min_words} then 'skipped' else 'crawled' end as status
+            from t_pages p left join t_bfs b on b.page_id = p.page_id
+            left join (select page_id from t_refresh where failed group by page_id having count(*) >= {CRAWL.max_failures}) d on d.page_id = p.page_id) q
+        group by status""",
     "c15_dead_pages": f"""
         select page_id, max(run) >= {CRAWL.max_failures} as dead, max(run) as longest_run from (
             select page_id, island, count(case when failed then 1 end) as run from (
@@ -98,14 +104,16 @@ QUERIES: dict[str, str] = {
     "d4_links_pages": "select distinct l.source_id, p.page_id as target_id from t_links l join t_pages p on p.url = l.target_url where l.source_id in (select page_id from t_pages)",
     "d5_chunks_pages": "select c.chunk_id, c.chunk_idx, p.title, p.url from t_vchunks c join t_pages p on p.page_id = c.page_id",
     "d6_pagerank_pages": f"select p.page_id, p.title, {R6('r.score')} as score from t_pagerank r join t_pages p on p.page_id = r.page_id",
-    "d7_outlink_titles": "select l.source_id, l.target_url, p.title from t_links l left join (select * from t_pages where not is_dead) p on p.url = l.target_url where l.source_id < 50",
+    "d7_outlink_titles": "select l.source_id, l.target_url, p.title from t_links l left join (select * from t_pages where not is_dead) p on p.url = l.target_url",
     "d8_inlinks_of_page": "select source_id from t_links where target_url = (select url from t_pages where page_id = 3)",
     "d9_correlated_counts": "select p.page_id, (select count(*) from t_links l where l.source_id = p.page_id) as outlinks, (select count(*) from t_links l where l.target_url = p.url) as inlinks from t_pages p",
-    "d10_bm25_pagerank": f"select b.qid, b.page_id, {R6('b.score')} as bm25, {R6('coalesce(r.score, 0)')} as pagerank from t_bm25 b left join (select * from t_pagerank where page_id % 3 > 0) r on r.page_id = b.page_id",
+    "d10_bm25_pagerank": f"select b.qid, b.page_id, {R6('b.score')} as bm25, {R6('coalesce(r.score, 0)')} as pagerank from t_bm25 b left join t_pagerank r on r.page_id = b.page_id",
     "d11_full_outer": """
         select coalesce(v.page_id, k.page_id) as page_id, coalesce(v.n, 0) as vector_chunks, coalesce(k.n, 0) as keyword_hits
         from (select page_id, count(*) as n from t_vchunks where embedding is not null group by page_id) v full join (select page_id, count(*) as n from t_bm25 group by page_id) k on v.page_id = k.page_id""",
-    "d12_related_not_asked": "select distinct o.term from t_postings o where o.page_id = 10 and not exists (select 1 from t_qterms q where q.term = o.term)",
+    "d12_related_not_asked": """
+        select distinct x.qid, o.term from (select qid, page_id, row_number() over (partition by qid order by round(score, 9) desc, page_id) as rn from t_bm25) x
+        join t_postings o on o.page_id = x.page_id where x.rn <= 10 and not exists (select 1 from t_qterms q where q.qid = x.qid and q.term = o.term)""",
     "d13_not_reranked": """
         select qid, page_id from t_bm25 b where not exists (
             select 1 from (select qid, page_id, row_number() over (partition by qid order by round(score, 9) desc, page_id) as rn from t_bm25) t where t.rn <= 5 and t.qid = b.qid and t.page_id = b.page_id)""",
@@ -123,7 +131,7 @@ QUERIES: dict[str, str] = {
     "e7_daily_buckets": f"select cast(cast(created_at as date) as STR) as day, count(*) as n, {R6('avg(time_ms)')} as avg_ms from t_log group by cast(created_at as date)",
     "e8_last_crawl": "select EPOCH(max(crawled_at)) as last_crawl from t_pages",
     "e9_filtered_counts": f"select count(*) as n, count(case when results_count = 0 then 1 end) as zero, count(case when created_at > {NOW} - INTERVAL '24' HOUR then 1 end) as today from t_log",
-    "e10_term_counts": "select page_id, term, term_freq, title_freq, body_freq from t_postings where page_id % 7 = 3",
+    "e10_term_counts": "select page_id, term, term_freq, title_freq, body_freq from t_postings",
     "e11_most_common": """
         select page_id, term, term_freq, rn from (select page_id, term, term_freq, row_number() over (partition by page_id order by term_freq desc, term) as rn from t_postings) x where rn <= 15""",
     "e12_corpus_stats": f"select total_docs, {R6('avg_doc_length')} as avg_doc_length from t_corpus",
@@ -143,8 +151,7 @@ QUERIES: dict[str, str] = {
         c as (select x.qid, x.page_id, row_number() over (partition by x.qid order by round(x.score + 100 * r.score, 9) desc, x.page_id) as rn from t_bm25 x join t_pagerank r on r.page_id = x.page_id)
         select c.qid, c.page_id, case when b.rn <= 10 then cast(b.rn as STR) else '>10' end as bm25_rank, c.rn as final_rank from c join b on b.qid = c.qid and b.page_id = c.page_id where c.rn <= 10""",
     "f2_rerank_ranks": """
-        with t as (select qid, page_id, score, row_number() over (partition by qid order by round(score, 9) desc, page_id) as before_rank from t_bm25)
-        select qid, page_id, before_rank, row_number() over (partition by qid order by page_id % 7 desc, before_rank) as after_rank from t where before_rank <= 5""",
+        select qid, page_id, position as before_rank, row_number() over (partition by qid order by rerank_score desc, position) as after_rank from t_rerank where rerank_score > -8""",
     "f3_domain_cap": """
         with r as (select b.qid, b.page_id, p.domain, row_number() over (partition by b.qid order by round(b.score, 9) desc, b.page_id) as pos from t_bm25 b join t_pages p on p.page_id = b.page_id),
         k as (select *, row_number() over (partition by qid, domain order by pos) as nth from r)
@@ -172,7 +179,7 @@ QUERIES: dict[str, str] = {
     "h2_vocabulary": """
         select word from (select RX(lower(w), R'[^a-z]', '') as word from (select FLAT(WORDS(title)) as w from t_pages where not is_dead and title is not null) t) v where length(word) between 3 and 20
         union select term from t_terms where length(term) between 3 and 20""",
-    "h4_set_difference": "select distinct term from t_postings where page_id < 20 except select term from t_qterms",
+    "h4_set_difference": "select distinct term from t_postings except select term from t_qterms",
     "h5_link_set": "select distinct source_id, target_url from t_links",
     # --- scalar functions ---
     "i1_lower_strip": "select page_id, lower(trim(title)) as title from t_pages",

@@ -37,6 +37,9 @@ SQL = {
             case when vec_id % 17 = 0 then null else embedding end as embedding
         from embeddings e join documents d on d.doc_id = e.vec_id % 200""",
     "t_queryvec": "select vec_id as vid, embedding from embeddings where vec_id in (1, 2, 3)",
+    "t_fanvec": """
+        select f.qid, f.vid, e.embedding
+        from (select q.qid, (q.qid * 3 + n.k) % 500 as vid from t_queries q cross join (select 1 as k union all select 2 union all select 3) n) f join embeddings e on e.vec_id = f.vid""",
     "t_log": """
         select event_id as id, event_type || ' ' || JSONK(props) as query, k % 7 as results_count, value as time_ms, cast(ts as timestamp) as created_at
         from (select *, cast(JSONK(props) as bigint) as k from events)""",

@@ -56,14 +56,38 @@ def failure_runs(events: DataFrame) -> DataFrame:
 
 
 class LiveIndex:
-    """Postings and document lengths that take pages batch by batch; a page that comes again replaces its rows."""
+    """Postings and document lengths that take pages batch by batch; a page that comes again replaces its rows.
+
+    A batch writes its own postings and page ids only. What stands is the base without the pages of later batches, and each
+    batch without those of later ones; every COMPACT batches this is written as the new base."""
+
+    COMPACT = 8
 
     def __init__(self, spark: SparkSession, index: DataFrame | None = None):
         empty = spark.createDataFrame([], "page_id bigint, term string, term_freq bigint, title_freq bigint, body_freq bigint")
-        self.postings = index if index is not None else empty
+        self.base = index if index is not None else empty
+        self.deltas: list[tuple[DataFrame, DataFrame | None]] = []
+
+    @property
+    def postings(self) -> DataFrame:
+        gone, found = None, []
+        for pages, rows in reversed([(None, self.base), *self.deltas]):
+            if rows is not None:
+                found.append(rows if gone is None else without_pages(rows, gone))
+            if pages is not None:
+                gone = pages if gone is None else gone.union(pages)
+        out = found[0]
+        for rows in found[1:]:
+            out = out.unionByName(rows)
+        return out
+
+    def _add(self, pages: DataFrame, rows: DataFrame | None) -> None:
+        self.deltas.append((materialise(pages.select("page_id").distinct(), "live-pages"), None if rows is None else materialise(rows, "live")))
+        if len(self.deltas) >= self.COMPACT:
+            self.base, self.deltas = materialise(self.postings, "live-base"), []
 
     def take(self, batch: DataFrame, epoch: int = 0) -> None:
-        self.postings = materialise(without_pages(self.postings, batch).unionByName(postings(batch)), "live")
+        self._add(batch, postings(batch))
 
     def follow(self, stream: DataFrame) -> None:
         """Takes all that a stream of pages (page_id, title, body_text) has, micro-batch by micro-batch."""
@@ -71,7 +95,7 @@ class LiveIndex:
         stream.writeStream.foreachBatch(self.take).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
 
     def drop(self, pages: DataFrame) -> None:
-        self.postings = materialise(without_pages(self.postings, pages), "live")
+        self._add(pages, None)
 
     def lengths(self) -> DataFrame:
         """page_id, doc_length: pages without terms have no row here and are not counted."""

@@ -30,8 +30,12 @@ def test_bm25f(spark):
     assert scores(spark, docs, "unknown") == {} and scores(spark, [], "goal") == {}
 
 
-@pytest.mark.parametrize(("n", "edges"), [(3, [(0, 1), (1, 2), (2, 0)]), (4, [(0, 1), (1, 1), (0, 2)]), (2, [])])
-def test_pagerank(spark, n, edges):
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize(("n", "edges"), [(3, [(0, 1), (1, 2), (2, 0)]), (4, [(0, 1), (1, 1), (0, 2)]), (2, []), (40, [(0, t) for t in range(40)] + [(t, 0) for t in range(1, 30)])])
+def test_pagerank(spark, monkeypatch, n, edges, small):
+    """Both ways, hot sources in parts."""
+    monkeypatch.setattr(rank, "TASK_EDGES", 1000 if small else -1)
+    monkeypatch.setattr(rank, "SOURCE_EDGES", 7)
     nodes = spark.range(n).withColumnRenamed("id", "page_id")
     got = {r.page_id: r.score for r in rank.pagerank(nodes, spark.createDataFrame(edges, "s bigint, t bigint")).collect()}
     now = [1 / n] * n
@@ -46,7 +50,7 @@ def test_no_pages(spark):
 
 
 def test_normalised(spark):
-    rows = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 3.0), (3, None), (3, 1.0)], "q int, s double").select("q", "s", rank.normalised(F.col("s"), "q").alias("n")).collect()
+    rows = rank.normalised(spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 3.0), (3, None), (3, 1.0)], "q int, s double"), "q", n="s").collect()
     assert {(r.q, r.s): r.n for r in rows} == {(1, 2.0): 0.0, (1, 4.0): 1.0, (2, 3.0): 1.0, (3, None): None, (3, 1.0): 1.0}
 
 
@@ -62,7 +66,7 @@ def test_freshness(spark):
 
 
 def test_domain_cap(spark):
-    hits = spark.createDataFrame([(1, i, i) for i in range(1, 9)], "qid bigint, page_id bigint, position int")
+    hits = spark.createDataFrame([(1, i, -float(i)) for i in range(1, 9)], "qid bigint, page_id bigint, final double")
     urls = spark.createDataFrame([(i, f"https://www.h{i % 3}.org/{i}", "t") for i in range(1, 9)], "page_id bigint, url string, title string")
     got = rank.assembled(hits, urls).orderBy("slot").collect()
     assert [r.page_id for r in got] == [1, 2, 3, 4, 5, 6]
@@ -98,10 +102,11 @@ def test_intent(spark):
 
 
 def test_hybrid(spark):
-    vectors = spark.createDataFrame([(1, 10, 0.9), (2, 10, 0.8), (3, 20, 0.7)], "chunk_id bigint, page_id bigint, sim double")
+    vectors = spark.createDataFrame([(1, 1, 10, 0.9), (1, 2, 10, 0.8), (1, 3, 20, 0.7), (2, 4, 30, 0.6)], "qid bigint, chunk_id bigint, page_id bigint, sim double")
     keyword = spark.createDataFrame([(1, 20, 5.0), (1, 30, 3.0)], "qid bigint, page_id bigint, score double")
     chunks = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 30)], "chunk_id bigint, page_id bigint")
-    got = {r.chunk_id: (r.rn, round(r.combined, 6)) for r in rag.hybrid(vectors, keyword, chunks).collect()}
+    got = {r.chunk_id: (r.rn, round(r.combined, 6)) for r in rag.hybrid(vectors, keyword, chunks).where("qid = 1").collect()}
+    assert [(r.qid, r.chunk_id) for r in rag.hybrid(vectors, keyword, chunks).where("qid = 2").collect()] == [(2, 4)]
     assert got == {1: (1, 0.6), 3: (2, 0.4), 4: (3, 0.0)}
 
 
@@ -109,3 +114,65 @@ def test_embedding_batches(spark):
     rows = spark.createDataFrame([(i, f"text {i}", None) for i in range(120)], "chunk_id bigint, content string, embedding array<float>").coalesce(1)
     sizes = rag.embedded(rows, lambda b: [[float(len(b))]] * len(b) if len(b) == 50 else None).collect()
     assert sum(r.embedding is not None for r in sizes) == 100
+
+
+def test_rerank(spark):
+    scored = spark.createDataFrame([(1, i, float(-i)) for i in range(8)] + [(2, 3, 1.0)], "qid bigint, page_id bigint, final double")
+    pages = spark.createDataFrame([(i, "goal" if i == 3 else "news", "the final match" if i != 1 else "zzz") for i in range(8)], "page_id bigint, title string, body_text string")
+    queries = spark.createDataFrame([(1, "goal final"), (2, "final")], "qid bigint, query string")
+    none = rank.reranked(scored, queries, pages).collect()
+    assert {(r.qid, r.page_id): (r.position, r.reranked, r.rerank_score) for r in none} == {**{(1, i): (i + 1, i + 1, None) for i in range(5)}, (2, 3): (1, 1, None)}
+    got = {(r.qid, r.page_id): r.reranked for r in rank.reranked(scored, queries, pages, rank.overlap_model).collect()}
+    assert got == {(1, 0): 1, (1, 2): 2, (1, 3): 3, (1, 4): 4, (2, 3): 1}  # page 1 has no word of the query: cut; titles end in a full stop
+    assert all(r.rerank_score is None for r in rank.reranked(scored, queries, pages, lambda pairs: None).collect())
+
+
+def test_nearest_words(spark):
+    """All pairs within two edits, against a comparison of every pair."""
+    import random
+
+    from lodestone.operators.text import nearest_words
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 11))) for _ in range(250)})
+    asked, vocab = words[::3], words[1::2]
+    a, b = (spark.createDataFrame([(w,) for w in x], "word string") for x in (asked, vocab))
+    want = {(r.word, r.other, r.d) for r in a.crossJoin(b.withColumnRenamed("word", "other")).select("word", "other", F.levenshtein("word", "other").alias("d")).where("d <= 2").collect()}
+    assert {(r.word, r.candidate, r.distance) for r in nearest_words(a, b).collect()} == want and len(want) > 100
+
+
+def test_vectors(spark, monkeypatch):
+    """Blocks of any size give what a comparison of all pairs gives; the approximate index finds most of it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16))
+    x[:60] = x[60:120] + 0.1 * rng.standard_normal((60, 16))
+    rows = [(i, i % 7, x[i].tolist() if i % 11 else None) for i in range(300)] + [(300, 0, [0.0] * 16), (301, 0, [1.0] * 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, page_id bigint, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(q, q + 100, x[q].tolist()) for q in range(40)], "qid bigint, vid bigint, embedding array<float>")
+    own = {i: np.array(v, np.float32).astype(float) for i, _, v in rows if v and len(v) == 16}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in own.items()}
+    want = {}
+    for q in range(40):
+        v = x[q].astype(np.float32).astype(float)
+        best = sorted((-round(float(u @ v / np.linalg.norm(v)), 9), i) for i, u in unit.items())[:10]
+        want |= {(q, q + 100, k + 1): i for k, (_, i) in enumerate(best)}
+    for size in (4096, 7):
+        monkeypatch.setattr(rag, "CHUNKS", size)
+        assert {(r.qid, r.vid, r.rn): r.chunk_id for r in rag.vector_search(queries, chunks).collect()} == want
+    near = {(r.qid, r.chunk_id) for r in rag.approximate_search(queries, chunks, 1).collect()}
+    assert sum((q, c) in near for (q, _, k), c in want.items() if k == 1) >= 36
+
+
+def test_html_rules(spark):
+    """Noise, boilerplate, main content and links on pages that have them."""
+    raw = [
+        (1, "https://www.bbc.com/sport/1", "<body><article>News <script>bad()</script>text<a href='/x'>x</a></article><div>other</div></body>"),
+        (2, "https://example.org/a/b", "<body><header>top</header><div class='sidebar'>side</div><main>Main <a href='../c#z'>c</a><a href='tel:1'>t</a></main></body>"),
+        (3, "https://example.org/", "<body><style>s</style><p>plain</p><a href='https://other.org/p'>o</a></body>"),
+    ]
+    got = {r.page_id: r for r in crawl.parsed_pages(spark.createDataFrame(raw, "page_id bigint, url string, html string")).collect()}
+    assert got[1].body_text == "News x" and got[1].links == ["https://www.bbc.com/x"]
+    assert "top" not in got[2].body_text and "side" not in got[2].body_text and got[2].body_text.startswith("Main") and got[2].links == ["https://example.org/c"]
+    assert got[3].links == ["https://other.org/p"] and "plain" in got[3].body_text
