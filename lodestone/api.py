@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import RANKING, Ranking
-from .operators import rank, text
+from .operators import rag, rank, text
 from .operators.index import doc_stats, postings, query_terms
 from .operators.text import chunk_texts
 from .storage import materialise
@@ -83,6 +83,29 @@ def search_with_correction(index: Index, queries: DataFrame, vocab: DataFrame, *
     return first.withColumn("correction", F.lit(None).cast("string")).unionByName(again.join(fixed.select("qid", F.col("corrected").alias("correction")), "qid"))
 
 
+def overview(index: Index, queries: DataFrame, chunks: DataFrame, embed: rag.Embedder | None = None, model=None, least_results: int = 3, least_chunks: int = 2) -> DataFrame:
+    """qid, context, answer: an answer from the best chunks of each query (qid, query) that has enough results and chunks.
+    chunks: chunk_id, page_id, content, embedding; embed and model are plugged in, with offline defaults."""
+    terms = materialise(query_terms(queries), "terms")
+    hits = materialise(rank.bm25f(terms, index.postings, index.terms, index.lengths, index.corpus), "bm25")
+    enough = hits.groupBy("qid").count().where(F.col("count") >= least_results).select("qid")
+    best = rag.retrieved(queries.join(enough, "qid", "left_semi"), hits.join(enough, "qid", "left_semi"), index.postings, terms, chunks, embed)
+    found = best.join(chunks.select("chunk_id", "content"), "chunk_id").join(index.pages.select("page_id", "title"), "page_id")
+    found = materialise(found, "found")
+    full = found.groupBy("qid").count().where(F.col("count") >= least_chunks).select("qid")
+    contexts = materialise(rag.context(found.join(full, "qid", "left_semi")), "contexts")
+    return contexts.join(rag.answered(contexts, model), "qid")
+
+
+def chat(index: Index, messages: DataFrame, chunks: DataFrame, embed: rag.Embedder | None = None, model=None, window: int = 10) -> DataFrame:
+    """conv_id, query, answer: the answer to the latest question of each conversation (conv_id, turn, role, text) from its last
+    `window` messages; null where too little is found."""
+    order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    recent = messages.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= window).drop("rn")
+    queries = materialise(rag.chat_queries(recent), "chat")
+    return queries.join(overview(index, queries, chunks, embed, model), "qid", "left").select(F.col("qid").alias("conv_id"), "query", "answer")
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions search_tokens(text) and chunk_text(text)."""
 

@@ -192,3 +192,34 @@ def frames(answers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seq, pa.int32()), pa.array(out, pa.string())], ["qid", "seq", "frame"])
 
     return answers.select(F.col("qid").cast("bigint"), "answer").mapInArrow(run, "qid bigint, seq int, frame string")
+
+
+def fan_out(queries: DataFrame, hits: DataFrame, postings: DataFrame, terms: DataFrame, p: Retrieval = RETRIEVAL) -> DataFrame:
+    """qid, vid, query: each request's own sub-queries: as asked, with the first two, and with the first four of the terms that
+    its best pages share and it doesn't name. hits: qid, page_id, score; terms: qid, term."""
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "page_id")
+    best = hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= p.keyword_pages).select("qid", "page_id")
+    total = best.join(postings.select("page_id", "term", "term_freq"), "page_id").groupBy("qid", "term").agg(F.sum("term_freq").alias("total"))
+    common = Window.partitionBy("qid").orderBy(F.desc("total"), "term")
+    pool = total.withColumn("rn", F.row_number().over(common)).where(F.col("rn") <= p.related_pool)
+    related = pool.join(terms.select("qid", "term").distinct(), ["qid", "term"], "left_anti").withColumn("rn", F.row_number().over(common)).where(F.col("rn") <= p.related)
+    words = related.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]).alias("more"))
+    with_more = queries.select("qid", "query").join(words, "qid", "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
+    texts = F.array(*(F.struct(F.lit(i).cast("bigint").alias("vid"), F.concat_ws(" ", F.col("query"), F.slice("more", 1, n)).alias("query")) for i, n in enumerate((0, 2, 4), 1)))
+    return with_more.select("qid", F.explode(F.when(F.size("more") > 0, texts).otherwise(F.slice(texts, 1, 1))).alias("s")).select("qid", "s.vid", "s.query")
+
+
+def retrieved(queries: DataFrame, hits: DataFrame, postings: DataFrame, terms: DataFrame, chunks: DataFrame, embed: Embedder | None = None, p: Retrieval = RETRIEVAL) -> DataFrame:
+    """The hybrid result of each request: its own sub-queries embedded, their best chunks joined with those of its keyword pages.
+    chunks: chunk_id, page_id, content, embedding."""
+    asked = materialise(fan_out(queries, hits, postings, terms, p), "fan-out").withColumn("chunk_id", F.xxhash64("qid", "vid"))
+    vectors = embedded(asked.select("chunk_id", F.col("query").alias("content"), F.lit(None).cast("array<float>").alias("embedding")), embed, p)
+    own = asked.join(vectors, "chunk_id").select("qid", "vid", "embedding")
+    return hybrid(vector_search(own, chunks, p.vector_top).select("qid", "chunk_id", "page_id", "sim"), hits, chunks, p)
+
+
+def chat_queries(messages: DataFrame) -> DataFrame:
+    """qid (the conversation), query: the latest question, with the first before it unless that says it already."""
+    asked = messages.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("latest"))
+    alone = (F.col("n") == 1) | F.lower("latest").contains(F.lower("first"))
+    return asked.select(F.col("conv_id").alias("qid"), F.when(alone, F.col("latest")).otherwise(F.concat_ws(" ", "first", "latest")).alias("query"))

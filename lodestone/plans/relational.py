@@ -36,7 +36,6 @@ QUERIES: dict[str, str] = {
     "a14_column_fill": """
         select c.chunk_id, c.embedding is not null as had, coalesce(c.embedding, e.embedding) is not null as has
         from t_vchunks c left join embeddings e on e.vec_id = c.chunk_id""",
-    "a15_surrogate_keys": "select term, row_number() over (order by term) as term_id from t_terms",
     "a21_log_append": "select id, query, results_count, time_ms from t_log union all select 1000000 + qid, query, 0, cast(0 as double) from t_queries",
     "a22_snapshot": f"""
         select (select count(*) from t_pages) as pages_crawled, (select count(*) from t_terms) as terms_indexed, (select count(*) from t_postings) as postings_count,
@@ -166,8 +165,6 @@ QUERIES: dict[str, str] = {
     "f9_snapshot_series": """
         select day, n, n - lag(n) over (order by day) as delta, cast(sum(n) over (order by day rows between unbounded preceding and current row) as bigint) as running from (
             select cast(cast(created_at as date) as STR) as day, count(*) as n from t_log group by cast(created_at as date)) d""",
-    "f10_sliding_window": "select page_id, pos, cast(sum(hit) over (order by pos rows between current row and 29 following) as bigint) as hits from (select page_id, page_id as pos, case when is_dead then 1 else 0 end as hit from t_pages) x",
-    "g1_full_sort": f"select page_id, {R6('score')} as score, row_number() over (order by round(score, 9) desc, page_id) as pos from t_pagerank",
     "g2_top_pages": "select qid, page_id, rn from (select qid, page_id, row_number() over (partition by qid order by round(score, 9) desc, page_id) as rn from t_bm25) x where rn <= 10",
     "g3_order_limit": "select query, count(*) as n from t_log group by query order by n desc, query limit 20",
     "g4_paging": "select page_id, url from t_pages order by page_id limit 20 offset 40",

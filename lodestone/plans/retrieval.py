@@ -13,7 +13,7 @@ from ..config import AS_OF, CRAWL, RANKING, RETRIEVAL
 from ..functions import fixed
 from ..functions.sql import quoted
 from ..functions.text import duck_stems, duck_tokens, sentences, tokens
-from ..operators import crawl, intent, rag, rank, text
+from ..operators import crawl, intent, order, rag, rank, text
 from ..operators.index import reindex, without_pages
 from ..sources import logical
 from ..sources.logical import Corpus, duck
@@ -546,6 +546,29 @@ def _l14(c):
     return rows.select("kind", "name", ids.alias("id"), ids.isNull().alias("unknown"))
 
 
+# --- places in a total order ------------------------------------------------------------------------------------------
+
+
+@query("a15_surrogate_keys", "select term, row_number() over (order by term) as term_id from t_terms")
+def _a15(c):
+    return order.placed(c.t_terms.select("term"), F.col("term"), name="term_id")
+
+
+@query("g1_full_sort", f"select page_id, {R6('score')} as score, row_number() over (order by round(score, 9) desc, page_id) as pos from t_pagerank")
+def _g1(c):
+    rows = c.t_pagerank.withColumn("rounded", F.round("score", 9))
+    return order.placed(rows, F.desc("rounded"), F.col("page_id"), name="pos").select("page_id", r6("score"), "pos")
+
+
+@query("f10_sliding_window", "select page_id, pos, cast(sum(hit) over (order by pos rows between current row and 29 following) as bigint) as hits from (select page_id, page_id as pos, case when is_dead then 1 else 0 end as hit from t_pages) x")
+def _f10(c):
+    rows = c.table("t_pages").select("page_id", F.col("page_id").alias("pos"), F.col("is_dead").cast("int").alias("hit"))
+    return order.following_sum(order.placed(rows, F.col("pos")), "hit", 29, "hits").select("page_id", "pos", F.col("hits").cast("bigint").alias("hits"))
+
+
+query("j26_ann_index")(lambda c: rag.approximate_search(c.table("t_fanvec"), c.table("t_vchunks")).select("qid", "vid", "rn", "chunk_id"))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 

@@ -176,3 +176,17 @@ def test_html_rules(spark):
     assert got[1].body_text == "News x" and got[1].links == ["https://www.bbc.com/x"]
     assert "top" not in got[2].body_text and "side" not in got[2].body_text and got[2].body_text.startswith("Main") and got[2].links == ["https://example.org/c"]
     assert got[3].links == ["https://other.org/p"] and "plain" in got[3].body_text
+
+
+def test_places(spark):
+    from lodestone.operators import order
+
+    rows = spark.createDataFrame([(i * 7 % 101, float(i % 3)) for i in range(101)], "k bigint, v double").repartition(5)
+    got = {r.k: r.place for r in order.placed(rows, F.desc("v"), F.col("k")).collect()}
+    want = sorted(((-float(i % 3), i * 7 % 101) for i in range(101)))
+    assert got == {k: i + 1 for i, (_, k) in enumerate(want)}
+    for block in (1 << 17, 10, 7):
+        sums = {r.k: r.s for r in order.following_sum(order.placed(rows, F.col("k")), "v", 6, "s", block=block).collect()}
+        v = [x for _, x in sorted((r.k, r.v) for r in rows.collect())]
+        assert sums == {i: sum(v[i : i + 7]) for i in range(101)}
+    assert order.placed(rows.limit(0), F.col("k")).count() == 0
