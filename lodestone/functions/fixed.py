@@ -1,4 +1,4 @@
-"""Word lists, suffix tables, patterns and maps that results depend on."""
+"""Word lists, suffix tables, phrases and maps. Results depend on them, so they stand as they are, in their order."""
 
 STOPWORDS = """
 a an the and or but in on at to for
@@ -24,19 +24,32 @@ share tweet facebook twitter instagram
 menu previous next skip navigation
 """.split()
 
-#: Suffixes in the order they are tried, with what replaces them.
-SUFFIXES_2 = """
-ational:ate tional:tion enci:ence anci:ance
-izer:ize abli:able alli:al entli:ent
-eli:e ousli:ous ization:ize ation:ate
-ator:ate alism:al iveness:ive fulness:ful
-ousness:ous aliti:al iviti:ive biliti:ble
-""".split()
-SUFFIXES_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
-SUFFIXES_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+#: Suffixes in the order they are tried, with what replaces them.
+SUFFIXES_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
+    ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+SUFFIXES_3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+SUFFIXES_4 = [
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""), ("able", ""), ("ible", ""),
+    ("ant", ""), ("ement", ""), ("ment", ""), ("ent", ""), ("ion", ""), ("ou", ""), ("ism", ""),
+    ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""),
+]
 
 BAD_TITLES = ["page not found", "404", "error", "not found", "access denied", "403 forbidden", "untitled", "redirect", "loading", "just a moment"]
-REDIRECTS = "you are being redirected|this page has moved|click here if you are not redirected|301 moved permanently|302 found|if you are not redirected"
+REDIRECTS = [
+    "you are being redirected",
+    "this page has moved",
+    "click here if you are not redirected",
+    "301 moved permanently",
+    "302 found",
+    "if you are not redirected",
+]
 
 STRIPPED_TAGS = "script style nav footer header noscript aside iframe svg figure table".split()
 BOILERPLATE = """
@@ -54,6 +67,16 @@ quick-select pager
 mw-indicators printfooter mw-hidden-catlinks
 promo sponsored breaking-news ticker
 """.split()
+#: Which element holds the article: (host or None, tag, attribute, value, whole value or part), tried in order.
+MAIN = [
+    ("www.bbc.com", "article", None, None, False),
+    ("www.espn.com", "article", None, None, False), ("www.espn.com", "div", "class", "article-body", False),
+    ("www.theguardian.com", "div", "id", "maincontent", True), ("www.theguardian.com", "div", "class", "article-body", False),
+    (None, "div", "id", "mw-content-text", True), (None, "div", "id", "bodyContent", True),
+    (None, "article", None, None, False), (None, "main", None, None, False), (None, "div", "role", "main", True),
+    *((None, "div", "class", c, False) for c in ("article-body", "post-content", "entry-content", "story-body", "content-body")),
+    (None, "body", None, None, False),
+]
 #: Cut marks of trailing sections that can still occur once "[edit]" is gone, in the order they are tried.
 TRAILING = [" References ", " External links "]
 

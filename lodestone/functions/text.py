@@ -30,10 +30,9 @@ def _doubled(w: str) -> str:
     return f"(length({w}) >= 2 and right({w}, 1) = substr({w}, length({w}) - 1, 1) and not MATCH(right({w}, 1), {VOWEL}))"
 
 
-def _table(rows: list[str], measure: str) -> str:
+def _table(rows: list[tuple[str, str]], measure: str) -> str:
     cases = []
-    for row in rows:
-        suffix, _, new = row.partition(":")
+    for suffix, new in rows:
         cases.append(f"when {_ends(suffix)} and MATCH({_cut(len(suffix))}, {measure}) then " + (f"{_cut(len(suffix))} || '{new}'" if new else _cut(len(suffix))))
     return "case " + " ".join(cases) + " else w end"
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CRAWL
-from ..functions.fixed import ALLOWED_DOMAINS, ALLOWED_PATHS, BLOCKED_DOMAINS, BOILERPLATE, STRIPPED_TAGS, TOPIC_WORDS, TRAILING
+from ..functions.fixed import ALLOWED_DOMAINS, ALLOWED_PATHS, BLOCKED_DOMAINS, BOILERPLATE, MAIN, STRIPPED_TAGS, TOPIC_WORDS, TRAILING
 from ..storage import materialise
 
 
@@ -75,16 +75,6 @@ def robots_allowed(urls: DataFrame, agent: str = "*") -> DataFrame:
 # --- HTML -------------------------------------------------------------------------------------------------------------
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Which element holds the article: (host or None, tag, attribute, value, whole value or part), tried in order.
-MAIN = [
-    ("www.bbc.com", "article", None, None, False),
-    ("www.espn.com", "article", None, None, False), ("www.espn.com", "div", "class", "article-body", False),
-    ("www.theguardian.com", "div", "id", "maincontent", True), ("www.theguardian.com", "div", "class", "article-body", False),
-    (None, "div", "id", "mw-content-text", True), (None, "div", "id", "bodyContent", True),
-    (None, "article", None, None, False), (None, "main", None, None, False), (None, "div", "role", "main", True),
-    *((None, "div", "class", c, False) for c in ("article-body", "post-content", "entry-content", "story-body", "content-body")),
-    (None, "body", None, None, False),
-]
 
 
 class _Node:

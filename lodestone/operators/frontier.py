@@ -74,7 +74,7 @@ def good_pages(parsed: DataFrame, known: DataFrame, p: Crawl = CRAWL) -> DataFra
     words = F.size(F.filter(F.split(F.trim("body_text"), r"\s+"), lambda w: w != ""))
     first = F.row_number().over(Window.partitionBy("content_hash").orderBy("url")) == 1
     seen = known.select("content_hash").distinct().withColumn("seen", F.lit(True))
-    good = (words >= p.min_words) & (F.trim("title") != "") & ~F.lower(F.trim("title")).isin(list(BAD_TITLES)) & ~F.lower(F.substring("body_text", 1, 1000)).rlike(f"({REDIRECTS})")
+    good = (words >= p.min_words) & (F.trim("title") != "") & ~F.lower(F.trim("title")).isin(list(BAD_TITLES)) & ~F.lower(F.substring("body_text", 1, 1000)).rlike(f"({'|'.join(REDIRECTS)})")
     return parsed.withColumn("first", first).join(seen, "content_hash", "left").withColumn("kept", good & F.col("first") & F.col("seen").isNull()).drop("first", "seen")
 
 

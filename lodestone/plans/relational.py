@@ -55,7 +55,7 @@ QUERIES: dict[str, str] = {
     "b9_quality_gate": f"""
         select page_id, cardinality(WORDS(body_text)) >= {CRAWL.min_words} as enough_words,
             title <> '' and lower(trim(title)) not in ({quoted(BAD_TITLES)}) as good_title,
-            not MATCH(lower(left(body_text, 1000)), R'({REDIRECTS})') as no_redirect,
+            not MATCH(lower(left(body_text, 1000)), R'({'|'.join(REDIRECTS)})') as no_redirect,
             row_number() over (partition by content_hash order by page_id) = 1 as first_of_hash
         from t_pages""",
     "b11_depth_limit": f"select page_id, level as depth, level + 1 <= {CRAWL.max_depth} as enqueue_links, level > {CRAWL.max_depth} as skip from (select page_id, depth as level from t_bfs) p",
@@ -181,7 +181,7 @@ QUERIES: dict[str, str] = {
     # --- scalar functions ---
     "i1_lower_strip": "select page_id, lower(trim(title)) as title from t_pages",
     "i2_regex_replace": "select page_id, RX(lower(title), R'[^a-z0-9 ]', ' ') as cleaned from t_pages",
-    "i4_regex_search": f"select page_id, MATCH(lower(body_text), R'(the|and)') as common, MATCH(lower(left(body_text, 1000)), R'({REDIRECTS})') as redirect from t_pages",
+    "i4_regex_search": f"select page_id, MATCH(lower(body_text), R'(the|and)') as common, MATCH(lower(left(body_text, 1000)), R'({'|'.join(REDIRECTS)})') as redirect from t_pages",
     "i5_whitespace_join": "select id, JOINED(WORDS(lower(query)), ' ') as q from t_log",
     "i6_substrings": "select page_id, substr(title, 2, 3) as s, cast(instr(title, 'e') as bigint) as at_e, title like 'T%' as starts_t, title like '%.' as ends_dot from t_pages",
     "i7_digits": "select n, MATCH(n, R'^[0-9]+$') as digits, length(n) between 2 and 30 as bounded from (select cast(page_id as STR) as n from t_pages union all select title from t_pages) x",

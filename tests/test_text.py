@@ -41,9 +41,8 @@ def slow_stem(w):
                 w += "e"
     if w.endswith("y") and any(c in "aeiou" for c in w[:-1]):
         w = w[:-1] + "i"
-    for table, least in ((SUFFIXES_2, 0), (SUFFIXES_3, 0), ([s + ":" for s in SUFFIXES_4], 1)):
-        for row in table:
-            old, new = row.split(":")
+    for table, least in ((SUFFIXES_2, 0), (SUFFIXES_3, 0), (SUFFIXES_4, 1)):
+        for old, new in table:
             if w.endswith(old) and runs(w[: len(w) - len(old)]) > least:
                 w = w[: len(w) - len(old)] + new
                 break
