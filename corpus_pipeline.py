@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents, with n_chars brought up to date where a text has changed.
+
+All stages: rows with a null id go through them (quality judges them, the two dedup stages leave them alone); other columns may
+hold nulls and have any names; very long texts are handled whole; an empty table gives an empty table. What each does with null
+and empty texts, ties and repeated rows stands at the stage.
 """
 
 from __future__ import annotations
@@ -18,27 +22,31 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the classifier rejects go."""
+    """Documents that fail the base rules or that the classifier rejects go; null and empty texts have no words and fail. Rows are
+    judged one by one, so repeated rows fare alike, and a probability at the threshold passes."""
     return op2_quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the least id, under one id the text with the least hash, of rows equal
+    in both one. Unlike texts under one id don't stand for each other. Texts without words (null, empty) are one group."""
     return op3_simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A passage that several documents share stays in the first of them only."""
+    """A passage that several documents share stays in the first of them only, by id; rows equal in id and text are one document
+    and lose the same. Null and empty texts stay; a document that nothing is left of goes."""
     return _counted(op4_substring.without_passages(docs, op4_substring.passages(docs)))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind. All rows stay, repeated ones too; a null text stays null, an empty one empty."""
     return _counted(op10_pii.redacted_documents(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece of a document with its place."""
+    """Token sequences: a row per piece of a document with its place; a null or empty text is the end id alone, and repeated rows
+    have places of their own."""
     return op1_packing.pack(docs)
 
 
