@@ -328,3 +328,45 @@ def test_pipeline_odd_columns(spark, odd_documents, small):
         docs = stage(spark, docs, small)
         assert docs.columns == odd_documents.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() > 0
+
+
+def test_pipeline_empty(spark, no_documents, small):
+    """No documents: every stage gives an empty table with its columns."""
+    docs = no_documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        assert docs.columns == no_documents.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 0
+
+
+def test_pipeline_brute_force(spark, tmp_path, small):
+    """Stages on planted cases: short and rejected rows, copies, a shared passage, personal data; against hand-made results."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    passage, a, b = fresh(60), fresh(120), fresh(90)
+    rows = [
+        (1, " ".join(a)), (2, " ".join(a)), (3, "too short"), (4, None), (5, " ".join([*fresh(70), *passage])), (6, " ".join([*b, *passage, *fresh(60)])),
+        (7, " ".join([*fresh(60), "mail", "me@site.org", *fresh(9)])), (8, " ".join(["same three words"] * 40)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    none.write.parquet(str(tmp_path / "labels.parquet"))  # no labels: the base rules alone decide
+    texts = dict(rows)
+    now, seen = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        seen.append({r.doc_id: r.text for r in now.collect()})
+    assert seen[0] == {i: texts[i] for i in (1, 2, 5, 6, 7)}
+    assert seen[1] == {i: texts[i] for i in (1, 5, 6, 7)}
+    cut = " ".join(w for w in texts[6].split() if w not in set(passage))
+    assert seen[2] == {**seen[1], 6: cut}
+    assert seen[3] == {**seen[2], 7: texts[7].replace("me@site.org", "[EMAIL]")}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.length for r in packed} == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in seen[3].items()}
+    assert len({r.sequence_id for r in packed}) == -(-sum(r.length for r in packed) // 2048)
