@@ -170,14 +170,25 @@ def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(x.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
 
 
-def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """An Arrow binary column of consecutive stretches of a column of numbers."""
-    offsets = np.r_[0, np.cumsum(sizes)] * values.dtype.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+def narrow(hashes: np.ndarray) -> np.ndarray:
+    """Three bytes of each word's hash: enough to tell words at one place apart, and five in a row anywhere."""
+    return np.ascontiguousarray(hashes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+
+
+def wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+def binaries(words: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow binary column of consecutive stretches of narrow words."""
+    offsets = np.r_[0, np.cumsum(sizes)] * 3
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(words)]).cast(pa.binary())
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (a hash of the text), words (four bytes each): one row per document, or more where copies are far apart."""
+    """id, key (a hash of the text), words (three bytes each): one row per document, or more where copies are far apart."""
     chosen = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text")).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +200,7 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     first.setdefault(pair, i)
                 batch = pa.Table.from_batches([batch]).take(pa.array(sorted(first.values()))).combine_chunks().to_batches()[0]
             hashes, sizes = word_hashes(texts(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binaries(hashes.astype("<u4"), sizes)], ["id", "key", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binaries(narrow(hashes), sizes)], ["id", "key", "words"])
 
     return chosen.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key bigint, words binary")
 
@@ -203,7 +214,7 @@ def numbered(rows: DataFrame, id_type: str) -> DataFrame:
         batch, index, held, last = TaskContext.get().partitionId() << SERIAL_BITS, -1, 0, None
         for rows in batches:
             kept, of, number = [], [], []
-            sizes = [len(x.as_buffer()) // 4 for x in rows.column(2)]
+            sizes = [len(x.as_buffer()) // 3 for x in rows.column(2)]
             for i, pair in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
                 if pair == last:  # the same id and text: the same document
                     continue
@@ -223,14 +234,14 @@ def numbered(rows: DataFrame, id_type: str) -> DataFrame:
 def joined_words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All words of a column of documents, end to end, and their numbers."""
     raw = [x.as_buffer() for x in column]
-    return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+    return wide(b"".join(raw)), np.array([len(x) // 3 for x in raw], np.int64)
 
 
 def entries(documents: DataFrame, buckets: int) -> DataFrame:
     """(bucket, batch, data): a batch's seeds by hash, each with its first and last place in the batch."""
 
     def made(batch: int, index: list[int], raw: list) -> pa.RecordBatch:
-        words, sizes = np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+        words, sizes = wide(b"".join(raw)), np.array([len(x) // 3 for x in raw], np.int64)
         h, which, pos, mate = seeds(words.astype(np.uint64), sizes)
         which = np.array(index, np.int64)[which] if len(h) else which
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
@@ -439,9 +450,15 @@ def extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
     return found
 
 
-def align(path: list[Segment], own: list[int], ref: list[int]) -> list[tuple[int, int, int, int, float]]:
+def same_start(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """The equal start of two sequences, as extend gives it."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return n, n, 0
+
+
+def align(path: list[Segment], own: list[int], ref: list[int], same: bool) -> list[tuple[int, int, int, int, float]]:
     """Start, end, start there, end there and similarity of the alignments that a chain gives; places as in the chain, which
-    `own` and `ref` begin at 0 for."""
+    `own` and `ref` begin at 0 for. In the same document only equal words extend it, or it would meet itself."""
     clean = [path[0]]
     for start, end, ref_start, ref_end in path[1:]:
         over = max(0, clean[-1][1] - start, clean[-1][3] - ref_start)
@@ -454,10 +471,11 @@ def align(path: list[Segment], own: list[int], ref: list[int]) -> list[tuple[int
     size, cost = max(end - start, ref_end - ref_start), sum(gaps)
     if cost > (1 - SIMILARITY) * size + 1e-9:
         worst = max(range(len(gaps)), key=lambda k: gaps[k]) + 1
-        return [x for part in (clean[:worst], clean[worst:]) if matched(part) >= MIN_MATCHED for x in align(part, own, ref)]
+        return [x for part in (clean[:worst], clean[worst:]) if matched(part) >= MIN_MATCHED for x in align(part, own, ref, same)]
     core = (start, end, ref_start, ref_end, 1 - cost / size)
-    left = extend(own[max(0, start - MARGIN) : start][::-1], ref[max(0, ref_start - MARGIN) : ref_start][::-1])
-    right = extend(own[end : end + MARGIN], ref[ref_end : ref_end + MARGIN])
+    on = same_start if same else extend
+    left = on(own[max(0, start - MARGIN) : start][::-1], ref[max(0, ref_start - MARGIN) : ref_start][::-1])
+    right = on(own[end : end + MARGIN], ref[ref_end : ref_end + MARGIN])
     start, end, ref_start, ref_end = start - left[0], end + right[0], ref_start - left[1], ref_end + right[1]
     size, cost = max(end - start, ref_end - ref_start), cost + left[2] + right[2]
     found = (start, end, ref_start, ref_end, 1 - cost / size) if cost <= (1 - SIMILARITY) * size + 1e-9 else core
@@ -524,11 +542,11 @@ def local(own: pa.Table, told: pa.Table) -> pa.Table:
             if matched(path) < MIN_MATCHED:
                 continue
             if r in place:
-                rows += [(number[i], r, *got, None, None, None) for got in align(path, words_of(i), words_of(place[r]))]
+                rows += [(number[i], r, *got, None, None, None) for got in align(path, words_of(i), words_of(place[r]), r == number[i])]
             else:
                 at = max(0, path[0][0] - MARGIN)
                 span = words[begins[i] + at : begins[i] + min(int(sizes[i]), path[-1][1] + MARGIN)]
-                rows.append((number[i], r, path[0][0], path[-1][1], path[0][2], path[-1][3], None, at, span.tobytes(), np.array(path, "<i4").tobytes()))
+                rows.append((number[i], r, path[0][0], path[-1][1], path[0][2], path[-1][3], None, at, narrow(span).tobytes(), np.array(path, "<i4").tobytes()))
     made = list(zip(*rows, strict=True)) if rows else [[]] * 10
     return pa.table({k: pa.array(c, t) for k, c, t in zip(LOCAL, made, LOCAL_KINDS, strict=True)})
 
@@ -543,9 +561,9 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, ref, at, span, path, ref_at, ref_span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own, other = np.frombuffer(span, "<u4").tolist(), np.frombuffer(ref_span, "<u4").tolist()
+            own, other = wide(span).tolist(), wide(ref_span).tolist()
             steps = [(a - at, b - at, c - ref_at, d - ref_at) for a, b, c, d in np.frombuffer(path, "<i4").reshape(-1, 4).tolist()]
-            rows += [(doc, ref, a + at, b + at, c + ref_at, d + ref_at, s) for a, b, c, d, s in align(steps, own, other)]
+            rows += [(doc, ref, a + at, b + at, c + ref_at, d + ref_at, s) for a, b, c, d, s in align(steps, own, other, doc == ref)]
         made = list(zip(*rows, strict=True)) if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, LOCAL_KINDS, strict=False)], list(LOCAL[:7]))
 
@@ -569,7 +587,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     asked = found.where("span is not null").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
     copies = asked.select("ref", "salt").distinct().join(documents.select(F.col("ord").alias("ref"), "words"), "ref")
     from_word = F.greatest(F.col("ref_start") - MARGIN, F.lit(0))
-    ref_span = F.substring(F.col("words"), (from_word * 4 + 1).cast("int"), ((F.col("ref_end") + MARGIN - from_word) * 4).cast("int"))
+    ref_span = F.substring(F.col("words"), (from_word * 3 + 1).cast("int"), ((F.col("ref_end") + MARGIN - from_word) * 3).cast("int"))
     met = asked.join(copies, ["ref", "salt"]).select("doc", "ref", "span_at", "span", "path", from_word.alias("ref_at"), ref_span.alias("ref_span"))
     aligned = found.where("span is null").select(*LOCAL[:7]).unionByName(met.mapInArrow(across, ALIGNED))
     aligned = materialise(aligned, "aligned")
