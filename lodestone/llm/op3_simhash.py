@@ -11,7 +11,7 @@ long texts are hashed whole, in blocks. An empty table gives an empty table. Oth
 
 The pipeline's stage (one_of_each) has wider bounds: it links texts of five-word Jaccard 0.8 or more as well. Candidates
 share a band of four minimal hashes, 20 bands (a pair at 0.8 shares one but once in 38,000 times), and are compared by
-their whole sets of shingles. It decides by row (id and text), so unlike texts under one id don't stand for each other.
+their whole sets of shingles: first all of a band with one of them, then what is still apart. It decides by row (id and text), so unlike texts under one id don't stand for each other.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SHINGLE, SEED, BITS = 3, 42, 2
 CHUNK = 1 << 14
 #: The stage's link rule and its bands of minimal hashes.
 JACCARD, BANDS, ROWS = 0.8, 20, 4
+#: Rounds in which a band's texts are compared with one of them, and parts that a text's set is copied to.
+ROUNDS, SALTS = 3, 64
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -173,17 +175,8 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) between the roots of texts of Jaccard JACCARD or more that have different roots."""
-    one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")).join(rooted.select("fp", "root"), "fp")
-    spread = materialise(one.select("key", "root", F.explode("bands").alias("band")), "bands")
-    live = spread.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    left = spread.join(live, "band", "left_semi")
-    right = left.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    pairs = left.join(right, "band").where("root < other_root").select("key", "root", "other", "other_root").distinct()
-    pairs = materialise(pairs, "pairs")
-    wanted = materialise(pairs.select("key").union(pairs.select("other")).distinct(), "wanted")
-    one_row = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "row")).alias("r")).select("r.id", "r.row")
+def shingle_sets(docs: DataFrame, one_row: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, words (sorted distinct shingle hashes, packed) of the texts with these keys; one_row: id and row of one text of each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -193,25 +186,88 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([words_key(t) for t in rows], pa.int64()), pa.array(sets, pa.binary())], ["key", "words"])
 
+    chosen = docs.select(docs[id_col].alias("id"), row_key(docs[text_col]).alias("row"), docs[text_col].alias("text")).join(one_row, ["id", "row"], "left_semi").select("text")
+    return chosen.mapInArrow(pack, "key bigint, words binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """key, size (of its set), shared (how many of its shingles another set has as well)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(words.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key))], ["h", "key"])
+
+    alone = sets.select("key", "words").mapInArrow(spread, "h bigint, key bigint").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    counts = alone.groupBy("key").agg(F.count("*").alias("alone"))
+    size = (F.octet_length("words") / 8).cast("bigint")
+    return sets.select("key", size.alias("size")).join(counts, "key", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of pairs (key, other, u, v) whose sets have a Jaccard of JACCARD or more. `other` may be in very many pairs: its set
+    is copied to SALTS parts of them at most."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (batch.column(i) for i in range(4))
             good = []
-            for x, y in zip(a, b, strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 small, large = sorted((len(x), len(y)))
                 both = len(np.intersect1d(x, y, assume_unique=True)) if small >= JACCARD * large - 1e-9 else 0
                 good.append(both >= JACCARD * (len(x) + len(y) - both) - 1e-9)
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["u", "v"])
 
-    chosen = docs.select(docs[id_col].alias("id"), row_key(docs[text_col]).alias("row"), docs[text_col].alias("text")).join(one_row, ["id", "row"], "left_semi").select("text")
-    sets = materialise(chosen.mapInArrow(pack, "key bigint, words binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "shingles")
-    other = sets.select(F.col("key").alias("other"), F.col("words").alias("other_words"))
-    met = pairs.join(sets, "key").join(other, "other").select("root", "other_root", "words", "other_words")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    copies = salted.select("other", "salt").distinct().join(sets.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")
+    met = salted.join(sets.select("key", "words"), "key").join(copies, ["other", "salt"]).select("u", "v", "words", "other_words")
     return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
+def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Edges (u, v) that join all roots of texts linked by a Jaccard of JACCARD or more.
+
+    Candidates share a band. A text can only be linked if others have enough of its shingles, and only with a text of which the
+    same holds, so texts whose edits are their own are no candidates, however many others they resemble. The rest is joined in
+    rounds: in each band all are compared with one, that with the fewest shingles of its own, unless they are joined already. What
+    is still apart in a band after that, and could be linked by its sizes, is compared pair by pair."""
+    one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "row")).alias("r")).join(rooted.select("fp", "root"), "fp")
+    spread = materialise(one.select("key", "root", "r", F.explode("bands").alias("band")), "bands")
+
+    def live(rows: DataFrame, part: str) -> DataFrame:
+        """The rows of bands that still hold several parts."""
+        return rows.join(rows.groupBy("band").agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a < b").select("band"), "band", "left_semi")
+
+    candidates = live(spread, "root")
+    wanted = materialise(candidates.groupBy("key").agg(F.first("r").alias("r")), "wanted")
+    sets = materialise(shingle_sets(docs, wanted.select("r.id", "r.row"), wanted.select("key"), id_col, text_col), "shingles")
+    sizes = shared_sizes(sets).where(F.col("shared") >= JACCARD * F.col("size") - 1e-9)
+    now = materialise(live(candidates.select("key", "root", "band").join(sizes, "key"), "root").withColumn("part", F.col("root")), "candidates")
+    discard(wanted, spread)
+    found = []
+    for _ in range(ROUNDS):
+        own = F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
+        centre = now.groupBy("band").agg(F.min(own).alias("c")).select("band", F.col("c.key").alias("other"), F.col("c.part").alias("other_part"))
+        pairs = now.join(centre, "band").where("part <> other_part").select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
+        edges = materialise(verified(pairs, sets), "edges")
+        found.append(edges)
+        roots = components(edges, "alike").withColumnsRenamed({"node": "part", "root": "joined"})
+        rest = now.join(centre, "band").where("key <> other").drop("other", "other_part").join(roots, "part", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined")
+        before, now = now, materialise(live(rest, "part"), "candidates")
+        discard(before)
+    # by sizes alone: what both share with others bounds what they share with each other
+    right = now.select("band", *(F.col(c).alias(f"other_{c}") for c in ("size", "shared", "part")), F.col("key").alias("other"))
+    both = F.least("shared", "other_shared")
+    could = both >= JACCARD * (F.col("size") + F.col("other_size") - both) - 1e-9
+    pairs = now.join(right, "band").where((F.col("part") < F.col("other_part")) & could).select("key", "other", F.col("part").alias("u"), F.col("other_part").alias("v")).distinct()
+    out = verified(materialise(pairs, "pairs"), sets)
+    for edges in found:
+        out = out.unionByName(edges)
+    return out
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of both link rules stays: the one with the least id, and of texts that share this id
     the one whose hash is least; of rows equal in both the first by all columns. Rows with a null id are left alone."""

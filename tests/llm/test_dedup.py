@@ -113,6 +113,49 @@ def test_one_of_each_wide(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(80)) - gone
 
 
+def slow_kept(rows):
+    """The least id of each component of both link rules, by comparing all pairs."""
+    prints = [slow_print(t) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[min(k for k in range(len(rows)) if find(k) == find(i))][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_one_of_each_large_group(spark, monkeypatch, rounds):
+    """Many near copies of one text, with few edits and many: the components are those of all pairs, whatever the rounds before
+    the comparison of the rest; and few pairs are compared."""
+    monkeypatch.setattr(op3_simhash, "ROUNDS", rounds)
+    rng, rows = random.Random(31), []
+    for n in (160, 90):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for _ in range(110):
+            copy = list(base)
+            for k in rng.sample(range(n), rng.randint(0, n // 12)):
+                copy[k] = f"z{rng.randint(0, 30 if rng.random() < 0.3 else 9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    rows.sort()
+    met = []
+    compare = op3_simhash.verified
+    monkeypatch.setattr(op3_simhash, "verified", lambda pairs, sets: met.append(pairs.count()) or compare(pairs, sets))
+    kept = {r.doc_id for r in op3_simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert kept == slow_kept(rows) and 10 < len(kept) < 200
+    if rounds == 3:
+        assert sum(met) < 8 * len(rows), met
+
+
 def slow_edits(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a):
