@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import op1_packing, op2_quality, op3_simhash, op4_substring, op10_pii
-from lodestone.llm.common import materialise, table
+from lodestone.llm.common import discard, materialise, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*written)  # what the stage before had returned
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
