@@ -335,7 +335,9 @@ def _j30(c):
     return _context(c)
 
 
-query("a17_answer")(lambda c: rag.answered(_context(c)))
+query("a17_answer", ORACLES["j28_hybrid"].rsplit("select qid, chunk_id", 1)[0] + """
+    select r.qid, string_agg(array_to_string(list_filter(string_split_regex(trim(left(c.content, 500)), '\\s+'), lambda x: x <> '')[1:12], ' ') || ' [' || r.rn || ']', ' ' order by r.rn) as answer
+    from (select *, row_number() over (partition by qid order by round(combined, 9) desc, chunk_id) as rn from o where nth = 1) r join t_vchunks c on c.chunk_id = r.chunk_id where r.rn <= 5 group by r.qid""")(lambda c: rag.answered(_context(c)))
 query("a19_event_frames")(lambda c: rag.frames(rag.answered(_context(c))))
 query("a16_embed")(lambda c: rag.embedded(c.table("t_vchunks")).select("chunk_id", F.size("embedding").alias("dim")))
 query("j23_embed_batches")(lambda c: rag.embedded(c.table("t_vchunks").withColumn("embedding", F.lit(None).cast("array<float>"))).select("chunk_id", F.round(F.element_at("embedding", 1), 6).alias("first")))
@@ -352,7 +354,7 @@ def _j18(c):
     return text.chunked(c.table("t_pages"))
 
 
-@query("f8_greedy_packing")
+@query("f8_greedy_packing", f"select page_id, count(*) as chunks, max(cast(len(string_split(content, ' ')) as bigint)) as most_words from ({ORACLES['j18_chunk']}) group by page_id")
 def _f8(c):
     return text.chunked(c.table("t_pages")).groupBy("page_id").agg(F.count("*").alias("chunks"), F.max(F.size(F.split("content", " "))).alias("most_words"))
 
@@ -411,7 +413,7 @@ query("c4_main_content")(lambda c: crawl.parsed_pages(c.read("pages")).select("p
 query("c7_links")(lambda c: crawl.parsed_pages(c.read("pages")).select("page_id", F.explode("links").alias("target_url")).distinct())
 
 
-@query("a5_robots")
+@query("a5_robots", "select url, page_id % 3 = 0 or regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) not like '/private%' as allowed from pages")
 def _a5(c):
     rules = "User-agent: *\nDisallow: /private\nAllow: /"
     return crawl.robots_allowed(c.read("pages").select("url", F.when(F.col("page_id") % 3 > 0, F.lit(rules)).alias("robots")))
@@ -472,13 +474,18 @@ def _d18(c):
 
 _MATCHES = '{"response": [{"fixture": {"id": 7, "date": "2024-02-01T15:00:00", "venue": {"name": "Old Ground"}, "status": {"short": "NS", "elapsed": null}}, "league": {"name": "Cup", "round": "1"}, "teams": {"home": {"name": "A"}, "away": {"name": "B"}}, "goals": {"home": null, "away": 2}}, {"fixture": {"id": 8}, "league": {}, "teams": {}}]}'
 _TABLE = '{"response": [{"league": {"standings": [[{"rank": 1, "team": {"name": "A"}, "all": {"played": 3, "win": 2, "draw": 1, "lose": 0, "goals": {"for": 5, "against": 1}}, "goalsDiff": 4, "points": 7, "form": "WWD"}], [{"rank": 1, "team": {"name": "B"}}]]}}]}'
-query("j36_fixtures")(lambda c: intent.fixtures(c.spark.createDataFrame([(_MATCHES,)], "json string")))
+_FIXTURES = f"""
+    select cast(f->>'$.fixture.id' as bigint) as id, f->>'$.fixture.date' as date, coalesce(f->>'$.fixture.venue.name', '') as venue, coalesce(f->>'$.fixture.status.short', 'NS') as status,
+        cast(f->>'$.fixture.status.elapsed' as bigint) as elapsed, coalesce(f->>'$.league.name', '') as league, coalesce(f->>'$.league.round', '') as round, coalesce(f->>'$.teams.home.name', '') as home_team,
+        coalesce(f->>'$.teams.away.name', '') as away_team, cast(f->>'$.goals.home' as bigint) as score_home, cast(f->>'$.goals.away' as bigint) as score_away
+    from (select unnest(cast(cast('{_MATCHES}' as json)->'$.response' as json[])) as f)"""
+query("j36_fixtures", _FIXTURES)(lambda c: intent.fixtures(c.spark.createDataFrame([(_MATCHES,)], "json string")))
 query("i18_nested_json", f"""
     select cast(t->>'$.rank' as bigint) as rank, coalesce(t->>'$.team.name', '') as team, coalesce(cast(t->>'$.all.played' as bigint), 0) as played, coalesce(cast(t->>'$.all.win' as bigint), 0) as won,
         coalesce(cast(t->>'$.all.draw' as bigint), 0) as drawn, coalesce(cast(t->>'$.all.lose' as bigint), 0) as lost, coalesce(cast(t->>'$.all.goals.for' as bigint), 0) as gf, coalesce(cast(t->>'$.all.goals.against' as bigint), 0) as ga,
         coalesce(cast(t->>'$.goalsDiff' as bigint), 0) as gd, coalesce(cast(t->>'$.points' as bigint), 0) as points, coalesce(t->>'$.form', '') as form
     from (select unnest(cast(g as json[])) as t from (select unnest(cast(l->'$.league.standings' as json[])) as g from (select unnest(cast(cast('{_TABLE}' as json)->'$.response' as json[])) as l)))""")(lambda c: intent.standings(c.spark.createDataFrame([(_TABLE,)], "json string")))
-query("a18_sports_source")(lambda c: intent.fixtures(c.spark.createDataFrame([(_MATCHES,), ('{"response": []}',)], "json string")).unionByName(intent.fixtures(c.spark.createDataFrame([(_MATCHES,)], "json string"))))
+query("a18_sports_source", f"{_FIXTURES} union all {_FIXTURES}")(lambda c: intent.fixtures(c.spark.createDataFrame([(_MATCHES,), ('{"response": []}',)], "json string")).unionByName(intent.fixtures(c.spark.createDataFrame([(_MATCHES,)], "json string"))))
 
 
 @query("i14_time_labels", "select id, strftime(created_at, '%H:%M') as label, strftime(created_at, '%Y-%m-%d') as day from t_log")
