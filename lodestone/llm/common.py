@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,16 +13,23 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise, shared_dir
 
-__all__ = ["BATCH_BYTES", "discard", "id_text", "materialise", "shared_dir", "slices", "table", "texts"]
+__all__ = ["BATCH_BYTES", "discard", "id_text", "materialise", "release", "shared_dir", "slices", "table", "texts"]
 
 #: Text bytes that a Python worker handles at a time; a longer text makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers are kept for later tasks, and their number adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of `column` at most, or one row."""
     for batch in batches:
@@ -34,6 +43,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices, table, texts
+from .common import discard, materialise, release, slices, table, texts
 
 WORDS, WINDOW = 5, 4
 #: Words between the two shingles of a pair.
@@ -56,7 +56,7 @@ GAP_COST, OVERLAP = 0.25, 4
 EDIT_COST, DROP = 4.0, 10.0
 #: Words between two chains of a document that a merged stretch may hold.
 BRIDGE = 8
-BATCH_TEXT, BATCH_WORDS = 8 << 20, 1 << 20
+BATCH_TEXT, BATCH_WORDS = 4 << 20, 1 << 18
 #: Parts that the requests for one document's words are dealt to.
 SALTS = 64
 #: Bits of a document's number that count it in its batch, and of a batch's number that count it in its partition.
@@ -267,6 +267,7 @@ def entries(documents: DataFrame, buckets: int) -> DataFrame:
                 raw.append(words)
         if raw:  # a batch that two tasks share is sent in two parts
             yield made(now, index, raw)
+        release()
 
     return documents.select("batch", "ord", "words").mapInArrow(run, "bucket int, batch bigint, data binary")
 
@@ -289,7 +290,10 @@ def answers(rows: pa.Table) -> pa.Table:
     columns = [h[later], batch[src].astype("<i8"), index[src], pos[src], mate[src], batch[prev].astype("<i8"), index2[prev], pos2[prev], mate2[prev]]
     own, starts = np.unique(batch[later], return_index=True)
     edges = [*starts.tolist(), len(later)]
-    return pa.table({"batch": pa.array(own, pa.int64()), "data": pa.array([pack(*(c[i:j] for c in columns)) for i, j in pairwise(edges)], pa.binary())})
+    out = pa.table({"batch": pa.array(own, pa.int64()), "data": pa.array([pack(*(c[i:j] for c in columns)) for i, j in pairwise(edges)], pa.binary())})
+    del parts, h, index, pos, mate, index2, pos2, mate2, batch, order, columns
+    release()
+    return out
 
 
 # --- chains -----------------------------------------------------------------------------------------------------------
@@ -548,6 +552,8 @@ def local(own: pa.Table, told: pa.Table) -> pa.Table:
                 span = words[begins[i] + at : begins[i] + min(int(sizes[i]), path[-1][1] + MARGIN)]
                 rows.append((number[i], r, path[0][0], path[-1][1], path[0][2], path[-1][3], None, at, narrow(span).tobytes(), np.array(path, "<i4").tobytes()))
     made = list(zip(*rows, strict=True)) if rows else [[]] * 10
+    del h, which, pos, mate, parts, pairs, at, ref, ref_pos, ref_mate, doc, own_pos, own_mate, rows, columns, words, held
+    release()
     return pa.table({k: pa.array(c, t) for k, c, t in zip(LOCAL, made, LOCAL_KINDS, strict=True)})
 
 
