@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts
 
 TRAIN_ROWS = 1200
+BATCH_TEXT = 2 << 20
 BUCKETS = 1 << 14
 FAMILIES = 3
 KEEP_AT = 0.5
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model
     sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # however often an id repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text", BATCH_TEXT):
             made = [sparse_features(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())],
@@ -210,7 +211,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     schema += f", document {dict(chosen.dtypes)['document']}" if keep else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text", BATCH_TEXT):
             got = score_batch(texts(batch), shared.value)
             columns = [batch.column(0), *(pa.array(got[c], pa.int64()) for c in counts), pa.array(got["base_failed"], pa.bool_()), pa.array(got["probability"], pa.float64()), pa.array(got["kept"], pa.bool_())]
             if keep:

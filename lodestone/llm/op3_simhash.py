@@ -30,10 +30,12 @@ from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
 CHUNK = 1 << 14
+#: Text bytes that the stage handles at a time: its arrays are many times as large.
+SMALL = 2 << 20
 #: The stage's link rule and its bands of minimal hashes.
 JACCARD, BANDS, ROWS = 0.8, 20, 4
 #: Rounds in which a band's texts are compared with one of them, and parts that a text's set is copied to.
-ROUNDS, SALTS = 3, 64
+ROUNDS, SALTS = 2, 64
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -161,7 +163,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, row (a hash of the text), fp, key of the words, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SMALL):
             rows = texts(batch)
             fps = np.array([fingerprint(t.encode()) for t in rows], np.uint64).view(np.int64)
             keys = pa.array([words_key(t) for t in rows], pa.int64())
@@ -176,12 +178,13 @@ def row_key(text: Column) -> Column:
 
 
 def shingle_sets(docs: DataFrame, one_row: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, words (sorted distinct shingle hashes, packed) of the texts with these keys; one_row: id and row of one text of each."""
+    """key, words (sorted distinct shingle hashes of four bytes, packed) of the texts with these keys; one_row: id and row of one text of each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SMALL):
             rows = texts(batch)
             h, which, _ = op4_substring.shingles(*op4_substring.word_hashes(rows))
+            h = (h >> np.uint64(32)).astype("<u4")
             edges = np.searchsorted(which, np.arange(len(rows) + 1))
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([words_key(t) for t in rows], pa.int64()), pa.array(sets, pa.binary())], ["key", "words"])
@@ -195,13 +198,14 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.frombuffer(words.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), key))], ["h", "key"])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                sets = [np.frombuffer(words.as_buffer(), "<i4") for words in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), list(map(len, sets))))], ["h", "key"])
 
-    alone = sets.select("key", "words").mapInArrow(spread, "h bigint, key bigint").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    alone = sets.select("key", "words").mapInArrow(spread, "h int, key bigint").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
     counts = alone.groupBy("key").agg(F.count("*").alias("alone"))
-    size = (F.octet_length("words") / 8).cast("bigint")
+    size = (F.octet_length("words") / 4).cast("bigint")
     return sets.select("key", size.alias("size")).join(counts, "key", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
@@ -213,7 +217,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 small, large = sorted((len(x), len(y)))
                 both = len(np.intersect1d(x, y, assume_unique=True)) if small >= JACCARD * large - 1e-9 else 0
                 good.append(both >= JACCARD * (len(x) + len(y) - both) - 1e-9)
@@ -234,29 +238,30 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
     rounds: in each band all are compared with one, that with the fewest shingles of its own, unless they are joined already. What
     is still apart in a band after that, and could be linked by its sizes, is compared pair by pair."""
     one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "row")).alias("r")).join(rooted.select("fp", "root"), "fp")
-    spread = materialise(one.select("key", "root", "r", F.explode("bands").alias("band")), "bands")
+    one = materialise(one.select("key", "root", "r", "bands"), "one")
 
     def live(rows: DataFrame, part: str) -> DataFrame:
         """The rows of bands that still hold several parts."""
         return rows.join(rows.groupBy("band").agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a < b").select("band"), "band", "left_semi")
 
-    candidates = live(spread, "root")
-    wanted = materialise(candidates.groupBy("key").agg(F.first("r").alias("r")), "wanted")
-    sets = materialise(shingle_sets(docs, wanted.select("r.id", "r.row"), wanted.select("key"), id_col, text_col), "shingles")
-    sizes = shared_sizes(sets).where(F.col("shared") >= JACCARD * F.col("size") - 1e-9)
-    now = materialise(live(candidates.select("key", "root", "band").join(sizes, "key"), "root").withColumn("part", F.col("root")), "candidates")
-    discard(wanted, spread)
+    candidates = materialise(live(one.select("key", "root", F.explode("bands").alias("band")), "root"), "candidates")
+    wanted = candidates.select("key").distinct()
+    full = materialise(shingle_sets(docs, one.join(wanted, "key", "left_semi").select("r.id", "r.row"), wanted, id_col, text_col), "shingles")
+    sets = materialise(full.join(shared_sizes(full).where(F.col("shared") >= JACCARD * F.col("size") - 1e-9), "key"), "sets")
+    now = materialise(live(candidates.join(sets.select("key", "size", "shared"), "key"), "root").withColumnRenamed("root", "part"), "candidates")
+    discard(one, candidates, full)
     found = []
     for _ in range(ROUNDS):
         own = F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
         centre = now.groupBy("band").agg(F.min(own).alias("c")).select("band", F.col("c.key").alias("other"), F.col("c.part").alias("other_part"))
-        pairs = now.join(centre, "band").where("part <> other_part").select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
+        met = materialise(now.join(centre, "band"), "met")
+        pairs = met.where("part <> other_part").select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
         edges = materialise(verified(pairs, sets), "edges")
         found.append(edges)
         roots = components(edges, "alike").withColumnsRenamed({"node": "part", "root": "joined"})
-        rest = now.join(centre, "band").where("key <> other").drop("other", "other_part").join(roots, "part", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined")
+        rest = met.where("key <> other").drop("other", "other_part").join(roots, "part", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined")
         before, now = now, materialise(live(rest, "part"), "candidates")
-        discard(before)
+        discard(before, met)
     # by sizes alone: what both share with others bounds what they share with each other
     right = now.select("band", *(F.col(c).alias(f"other_{c}") for c in ("size", "shared", "part")), F.col("key").alias("other"))
     both = F.least("shared", "other_shared")

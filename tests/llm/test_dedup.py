@@ -132,7 +132,7 @@ def slow_kept(rows):
     return {rows[min(k for k in range(len(rows)) if find(k) == find(i))][0] for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
 def test_one_of_each_large_group(spark, monkeypatch, rounds):
     """Many near copies of one text, with few edits and many: the components are those of all pairs, whatever the rounds before
     the comparison of the rest; and few pairs are compared."""
@@ -152,7 +152,7 @@ def test_one_of_each_large_group(spark, monkeypatch, rounds):
     monkeypatch.setattr(op3_simhash, "verified", lambda pairs, sets: met.append(pairs.count()) or compare(pairs, sets))
     kept = {r.doc_id for r in op3_simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
     assert kept == slow_kept(rows) and 10 < len(kept) < 200
-    if rounds == 3:
+    if rounds == 2:
         assert sum(met) < 8 * len(rows), met
 
 
