@@ -22,8 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,23 +61,28 @@ def encoder():
     return _encoders["byte_bpe_50k"]
 
 
-@lru_cache
-def other_way() -> str:
-    """A pattern of what has to go by op 9's coder: code points on which the two libraries differ, and long white space."""
+def unlike(path: str, points: Iterable[int]) -> set[int]:
+    """Code points on which the two libraries differ."""
     from tokenizers import Tokenizer
 
-    library, quick = Tokenizer.from_file(public_path()), encoder()
-    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
-    probes = [f"a{chr(c)}{chr(c)}a {chr(c)}1" for c in points]
-    exact = (x.ids for k in range(0, len(probes), 4096) for x in library.encode_batch(probes[k : k + 4096], add_special_tokens=False))
-    unlike = {c for c, s, ids in zip(points, probes, exact, strict=True) if quick.encode_ordinary(s) != ids}
-    return rf"{op9_bpe.char_class(unlike)}|\s{{{LONG_SPACE}}}"
+    library, quick, found = Tokenizer.from_file(path), encoder(), set()
+    for c in points:
+        if not 0xD800 <= c < 0xE000:
+            s = f"a{chr(c)}{chr(c)}a {chr(c)}1"
+            if quick.encode_ordinary(s) != library.encode(s, add_special_tokens=False).ids:
+                found.add(c)
+    return found
+
+
+def other_way(spark: SparkSession | None = None) -> str:
+    """A pattern of what has to go by op 9's coder: code points on which the two libraries differ, and long white space."""
+    return rf"{op9_bpe.probed(unlike, public_path(), spark)}|\s{{{LONG_SPACE}}}"
 
 
-def token_ids(text: str, exact_only) -> np.ndarray:
-    """Ids of a text and the end; `exact_only` searches for what other_way() names."""
+def token_ids(text: str, exact_only, rare: str | None = None) -> np.ndarray:
+    """Ids of a text and the end; `exact_only` searches for what other_way() names, `rare` is for op 9's coder."""
     if exact_only(text):
-        return np.r_[np.frombuffer(op9_bpe.coder().encode_batch([text])[0], "<u4"), np.uint32(END_ID)].astype("<u4")
+        return np.r_[np.frombuffer(op9_bpe.coder(rare=rare).encode_batch([text])[0], "<u4"), np.uint32(END_ID)].astype("<u4")
     enc = encoder()
     got = enc.encode(text, allowed_special="all") if "<|endoftext|>" in text else enc.encode_ordinary(text)
     return np.array([*got, END_ID], "<u4")
@@ -156,15 +160,15 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 def pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, ids: bool) -> DataFrame:
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, place bigint" + ", ids array<int>" * ids
-    pattern, rare = other_way(), op9_bpe.unlike(public_path())
+    pattern, rare = other_way(docs.sparkSession), op9_bpe.probed(op9_bpe.unlike, public_path(), docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
-        exact_only, _ = re.compile(pattern).search, op9_bpe.coder(rare=rare)
+        exact_only = re.compile(pattern).search
         for batch in slices(batches):
             of, columns = [], [[] for _ in range(6 + ids)]
             for i, text in enumerate(texts(batch)):
-                got = token_ids(text, exact_only)
+                got = token_ids(text, exact_only, rare)
                 first = len(got) % capacity or capacity
                 for k, start in enumerate([0, *range(first, len(got), capacity)]):
                     own = got[start : first if not k else start + capacity]

@@ -25,8 +25,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 from operator import sub
 
 import numpy as np
@@ -37,10 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table, texts
-from .op9_bpe import byte_alphabet, char_class, spans_of, unlike_classes
+from .op9_bpe import byte_alphabet, probed, spans_of, unlike_classes
 
 CACHE_WORDS, CACHE_CHARS, CACHE_FITS = 1_200_000, 48, 1_000_000
 LIMIT = 2048
+#: Text bytes at a time: new words of a batch share the work on their prefixes.
+BATCH_TEXT = 8 << 20
 #: The word rule of the vocabulary file's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER, ONE = 1 << 30, [1]
@@ -56,19 +57,19 @@ def fold(text: str) -> str:
     return text.replace(SIGMA, SMALL_SIGMA).lower()
 
 
-@lru_cache
-def unlike(path: str) -> str:
-    """A character class of the code points on which Python's tables may differ from the library's: all above U+FFFF; those
-    that Unicode 3.2 lacks, as rules for sequences may be later (for the others normal forms are stable); and those of which
-    the library's own answers differ."""
+def unlike(path: str, points: Iterable[int]) -> set[int]:
+    """Code points on which Python's tables may differ from the library's: those that Unicode 3.2 lacks, as rules for sequences
+    may be later (for the others normal forms are stable), and those of which the library's own answers differ."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and c != 1]
-    folded = dict(zip(points, library.normalizer.normalize_str("\x01".join(map(chr, points))).split("\x01"), strict=True))
-    later = {c for c in points if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"}
-    other = {c for c in points if (" " if chr(c).isspace() else fold(chr(c))) != folded[c]}
-    return char_class(later | other | unlike_classes(library, WORD) | {1})
+    points = [c for c in points if not 0xD800 <= c < 0xE000]
+    found = unlike_classes(library, WORD, points)
+    for c in points:
+        s = chr(c)
+        if unicodedata.ucd_3_2_0.category(s) == "Cn" or (" " if s.isspace() else fold(s)) != library.normalizer.normalize_str(s):
+            found.add(c)
+    return found
 
 
 class WordBpe:
@@ -77,7 +78,7 @@ class WordBpe:
             spec = json.load(f)
         vocab, alphabet, end = spec["model"]["vocab"], byte_alphabet(), spec["model"]["end_of_word_suffix"]
         self.path, self._library = path, None
-        self.rare = re.compile(rare or unlike(path)).search
+        self.rare = re.compile(rare or probed(unlike, path)).search
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.findall = regex.compile(WORD).findall
@@ -363,12 +364,12 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", te
     text; null if the text is within the limit) and prefix_steps, the packed counts at all prefixes (see counts_of)."""
     import public_tokenizers
 
-    rare = unlike(path or public_tokenizers.path("word_bpe_49k.json"))
+    rare = probed(unlike, path or public_tokenizers.path("word_bpe_49k.json"), docs.sparkSession)
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut bigint, prefix_steps binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, rare)
-        for batch in slices(batches):
+        for batch in slices(batches, "text", BATCH_TEXT):
             made = bpe.batch_steps(texts(batch))
             counts = [int(x.sum(dtype=np.int64)) for x in made]
             cuts = [longest_within(np.r_[0, np.cumsum(x, dtype=np.int64)], limit) if n > limit else None for x, n in zip(made, counts, strict=True)]

@@ -21,8 +21,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +48,14 @@ def spans_of(library, text: str) -> list[tuple[int, int]]:
     return [span for _, span in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
-def unlike_classes(library, pattern: str) -> set[int]:
-    """Code points up to U+FFFF beside which the library cuts in other places than the pattern does here."""
+POINTS = 0x10000
+_found: dict[tuple, str] = {}
+
+
+def unlike_classes(library, pattern: str, points: Iterable[int]) -> set[int]:
+    """Code points beside which the library cuts in other places than the pattern does here."""
     words, found = regex.compile(pattern), set()
-    for c in range(0x10000):
+    for c in points:
         if not 0xD800 <= c < 0xE000:
             s = f"a{chr(c)}{chr(c)}a {chr(c)}1"
             if [s[a:b] for a, b in spans_of(library, s)] != words.findall(s):
@@ -68,18 +71,35 @@ def char_class(points: set[int]) -> str:
     return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, stops, strict=True)) + "\U00010000-\U0010ffff]"
 
 
-@lru_cache
-def unlike(path: str) -> str:
+def probed(probe: Callable[[str, Iterable[int]], set[int]], path: str, spark: SparkSession | None = None) -> str:
+    """A class of the code points up to U+FFFF that a probe names, and all above. With a session the executors ask; what they
+    return is some thousand numbers at most, the same for any data."""
+    key = (probe.__module__, probe.__name__, path)
+    if key not in _found:
+        if spark is None:
+            points = probe(path, range(POINTS))
+        else:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(probe(path, batch.column(0).to_pylist())), pa.int64())], ["id"])
+
+            points = {r.id for r in spark.range(0, POINTS, 1, 8).mapInArrow(run, "id bigint").collect()}
+        _found[key] = char_class(points)
+    return _found[key]
+
+
+def unlike(path: str, points: Iterable[int]) -> set[int]:
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return char_class(unlike_classes(Tokenizer.from_file(path), public_tokenizers.PATTERN))
+    return unlike_classes(Tokenizer.from_file(path), public_tokenizers.PATTERN, points)
 
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str, rare: str | None = None):
         self.path, self._library = path, None
-        self.rare = re.compile(rare or unlike(path)).search
+        self.rare = re.compile(rare or probed(unlike, path)).search
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -238,7 +258,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids (array<int>) and the decoded text."""
     import public_tokenizers
 
-    rare = unlike(path or public_tokenizers.path("byte_bpe_50k.json"))
+    rare = probed(unlike, path or public_tokenizers.path("byte_bpe_50k.json"), docs.sparkSession)
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
