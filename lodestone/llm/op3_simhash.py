@@ -35,7 +35,7 @@ SMALL = 2 << 20
 #: The stage's link rule and its bands of minimal hashes.
 JACCARD, BANDS, ROWS = 0.8, 20, 4
 #: Rounds in which a band's texts are compared with one of them, and parts that a text's set is copied to.
-ROUNDS, SALTS = 2, 64
+ROUNDS, SALTS = 3, 64
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -230,13 +230,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
+def telling_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, other, u, v): the pairs of members (pivot, key, part) of a pivot, in different parts, that may have a Jaccard of
+    JACCARD or more.
+
+    Let D be a text's difference from the pivot c, either way. Texts x, y are alike if their difference, |Dx| + |Dy| - 2 |Dx & Dy|,
+    is a (|x| + |y|) at most, a = (1 - J) / (1 + J). Of two in different parts one, y, is not alike to c, so |Dy| > a (|y| + |c|), and Dx
+    and Dy have more than (|Dx| - a |x| + a |c|) / 2 in common. So one of the first |Dx| less that many of Dx, in any order, is in
+    Dy. In the order taken, what c lacks comes first: copies of c with edits of their own share little of that, so a group of them,
+    however large, makes few pairs."""
+    ratio = (1 - JACCARD) / (1 + JACCARD)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = []
+            for i, (x, c) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                x, c = np.frombuffer(x.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<i4")
+                more, less = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                d = np.r_[more, less]
+                both = len(x) - len(more)
+                apart = both < JACCARD * (len(x) + len(c) - both) - 1e-9
+                first = int(np.ceil((len(d) + ratio * (len(x) - len(c))) / 2 + 1e-9))
+                n = len(d) if apart else max(0, min(first, len(d)))
+                place = np.arange(n)
+                rows.append([np.full(n, i), np.full(n, len(x)), np.full(n, len(d)), np.full(n, apart), place < first, place, d[:n]])
+            of, size, d, apart, first, place, h = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 7
+            of = pa.array(of.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(of) for i in range(3)), *(pa.array(c.astype(np.int32)) for c in (size, d)), *(pa.array(c.astype(bool)) for c in (apart, first)), *(pa.array(c.astype(np.int32)) for c in (place, h))],
+                ["pivot", "key", "part", "size", "d", "apart", "first", "place", "h"],
+            )
+
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    copies = salted.select("pivot", "salt").distinct().join(sets.select(F.col("key").alias("pivot"), F.col("words").alias("centre")), "pivot")
+    met = salted.join(sets.select("key", "words"), "key").join(copies, ["pivot", "salt"]).select("pivot", "key", "part", "words", "centre")
+    rows = materialise(met.mapInArrow(differences, "pivot bigint, key bigint, part bigint, size int, d int, apart boolean, first boolean, place int, h int"), "differences")
+    left = rows.where("first").select("pivot", "h", "key", "part", "size", "d", "place")
+    right = rows.where("apart").select("pivot", "h", *(F.col(c).alias(f"other_{c}") for c in ("part", "size", "d")), F.col("key").alias("other"))
+    needed = (F.col("d") + F.col("other_d") - ratio * (F.col("size") + F.col("other_size"))) / 2 - 1e-9
+    pairs = left.join(right, ["pivot", "h"]).where((F.col("part") != F.col("other_part")) & (F.col("d") - F.col("place") >= needed))
+    return pairs.select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
+
+
 def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (u, v) that join all roots of texts linked by a Jaccard of JACCARD or more.
 
     Candidates share a band. A text can only be linked if others have enough of its shingles, and only with a text of which the
     same holds, so texts whose edits are their own are no candidates, however many others they resemble. The rest is joined in
-    rounds: in each band all are compared with one, that with the fewest shingles of its own, unless they are joined already. What
-    is still apart in a band after that, and could be linked by its sizes, is compared pair by pair."""
+    rounds: in each band all are compared with one, of those that no earlier one is joined with that with the fewest shingles of
+    its own, unless they are joined already. Of
+    what is still apart after that, pairs are compared that share enough of what sets them off from the first round's centre."""
     one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "row")).alias("r")).join(rooted.select("fp", "root"), "fp")
     one = materialise(one.select("key", "root", "r", "bands"), "one")
 
@@ -248,26 +291,26 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
     wanted = candidates.select("key").distinct()
     full = materialise(shingle_sets(docs, one.join(wanted, "key", "left_semi").select("r.id", "r.row"), wanted, id_col, text_col), "shingles")
     sets = materialise(full.join(shared_sizes(full).where(F.col("shared") >= JACCARD * F.col("size") - 1e-9), "key"), "sets")
-    now = materialise(live(candidates.join(sets.select("key", "size", "shared"), "key"), "root").withColumnRenamed("root", "part"), "candidates")
+    now = materialise(live(candidates.join(sets.select("key", "size", "shared"), "key"), "root").withColumnRenamed("root", "part").withColumn("near", F.lit(False)), "candidates")
     discard(one, candidates, full)
     found = []
     for _ in range(ROUNDS):
-        own = F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
+        own = F.struct("near", ((F.col("size") - F.col("shared")) / F.col("size")).alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
         centre = now.groupBy("band").agg(F.min(own).alias("c")).select("band", F.col("c.key").alias("other"), F.col("c.part").alias("other_part"))
         met = materialise(now.join(centre, "band"), "met")
+        if not found:
+            pivots = materialise(centre.select("band", F.col("other").alias("pivot")), "pivots")
         pairs = met.where("part <> other_part").select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
         edges = materialise(verified(pairs, sets), "edges")
         found.append(edges)
         roots = components(edges, "alike").withColumnsRenamed({"node": "part", "root": "joined"})
-        rest = met.where("key <> other").drop("other", "other_part").join(roots, "part", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined")
+        centres = roots.withColumnsRenamed({"part": "other_part", "joined": "other_joined"})
+        rest = met.where("key <> other").join(roots, "part", "left").join(centres, "other_part", "left")
+        part, other_part = F.coalesce("joined", "part"), F.coalesce("other_joined", "other_part")
+        rest = rest.select("band", "key", part.alias("part"), "size", "shared", (F.col("near") | (part == other_part)).alias("near"))
         before, now = now, materialise(live(rest, "part"), "candidates")
         discard(before, met)
-    # by sizes alone: what both share with others bounds what they share with each other
-    right = now.select("band", *(F.col(c).alias(f"other_{c}") for c in ("size", "shared", "part")), F.col("key").alias("other"))
-    both = F.least("shared", "other_shared")
-    could = both >= JACCARD * (F.col("size") + F.col("other_size") - both) - 1e-9
-    pairs = now.join(right, "band").where((F.col("part") < F.col("other_part")) & could).select("key", "other", F.col("part").alias("u"), F.col("other_part").alias("v")).distinct()
-    out = verified(materialise(pairs, "pairs"), sets)
+    out = verified(materialise(telling_pairs(now.join(pivots, "band").select("pivot", "key", "part").distinct(), sets), "pairs"), sets)
     for edges in found:
         out = out.unionByName(edges)
     return out
