@@ -35,7 +35,7 @@ SMALL = 2 << 20
 #: The stage's link rule and its bands of minimal hashes.
 JACCARD, BANDS, ROWS = 0.8, 20, 4
 #: Rounds in which a band's texts are compared with one of them, and parts that a text's set is copied to.
-ROUNDS, SALTS = 3, 64
+ROUNDS, SALTS = 2, 64
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
@@ -235,7 +235,7 @@ def telling_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     JACCARD or more.
 
     Let D be a text's difference from the pivot c, either way. Texts x, y are alike if their difference, |Dx| + |Dy| - 2 |Dx & Dy|,
-    is a (|x| + |y|) at most, a = (1 - J) / (1 + J). Of two in different parts one, y, is not alike to c, so |Dy| > a (|y| + |c|), and Dx
+    is a (|x| + |y|) at most, a = (1 - J) / (1 + J). All have been compared with c, so of two in different parts one, y, is not alike to it, so |Dy| > a (|y| + |c|), and Dx
     and Dy have more than (|Dx| - a |x| + a |c|) / 2 in common. So one of the first |Dx| less that many of Dx, in any order, is in
     Dy. In the order taken, what c lacks comes first: copies of c with edits of their own share little of that, so a group of them,
     however large, makes few pairs."""
@@ -276,10 +276,10 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
     """Edges (u, v) that join all roots of texts linked by a Jaccard of JACCARD or more.
 
     Candidates share a band. A text can only be linked if others have enough of its shingles, and only with a text of which the
-    same holds, so texts whose edits are their own are no candidates, however many others they resemble. The rest is joined in
-    rounds: in each band all are compared with one, of those that no earlier one is joined with that with the fewest shingles of
-    its own, unless they are joined already. Of
-    what is still apart after that, pairs are compared that share enough of what sets them off from the first round's centre."""
+    same holds, so texts whose edits are their own are no candidates, however many others they resemble. The rest is compared
+    with centres: all texts of a family, which bands connect, with that of the fewest shingles of its own; then, in rounds, in each
+    band with the like of what is still apart. Of what that leaves apart, pairs are compared that share enough of what sets them
+    off from their family's centre."""
     one = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "row")).alias("r")).join(rooted.select("fp", "root"), "fp")
     one = materialise(one.select("key", "root", "r", "bands"), "one")
 
@@ -291,15 +291,26 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
     wanted = candidates.select("key").distinct()
     full = materialise(shingle_sets(docs, one.join(wanted, "key", "left_semi").select("r.id", "r.row"), wanted, id_col, text_col), "shingles")
     sets = materialise(full.join(shared_sizes(full).where(F.col("shared") >= JACCARD * F.col("size") - 1e-9), "key"), "sets")
+    ratio = (F.col("size") - F.col("shared")) / F.col("size")
     now = materialise(live(candidates.join(sets.select("key", "size", "shared"), "key"), "root").withColumnRenamed("root", "part").withColumn("near", F.lit(False)), "candidates")
     discard(one, candidates, full)
-    found = []
+
+    # texts that bands connect are a family; all of one are compared with its centre
+    bound = components(now.join(now.groupBy("band").agg(F.min("key").alias("v")), "band").select(F.col("key").alias("u"), "v"), "families").withColumnsRenamed({"node": "key", "root": "family"})
+    texts_of = now.select("key", "part", ratio.alias("own")).distinct().join(bound, "key")
+    middle = texts_of.groupBy("family").agg(F.min(F.struct("own", "key", "part")).alias("c")).select("family", F.col("c.key").alias("pivot"), F.col("c.part").alias("pivot_part"))
+    members = materialise(texts_of.join(middle, "family").select("key", "part", "pivot", "pivot_part"), "members")
+    apart = members.where("part <> pivot_part").select("key", F.col("pivot").alias("other"), F.least("part", "pivot_part").alias("u"), F.greatest("part", "pivot_part").alias("v"))
+    found = [materialise(verified(apart, sets), "edges")]
+    roots = components(found[0], "alike").withColumnsRenamed({"node": "part", "root": "joined"})
+    middles = roots.withColumnsRenamed({"part": "pivot_part", "joined": "pivot_joined"})
+    renamed = members.join(roots, "part", "left").join(middles, "pivot_part", "left").select("key", F.coalesce("joined", "part").alias("now_part"), F.coalesce("pivot_joined", "pivot_part").alias("middle"))
+    before, now = now, materialise(live(now.drop("part", "near").join(renamed, "key").select("band", "key", F.col("now_part").alias("part"), "size", "shared", (F.col("now_part") == F.col("middle")).alias("near")), "part"), "candidates")
+    discard(before)
     for _ in range(ROUNDS):
-        own = F.struct("near", ((F.col("size") - F.col("shared")) / F.col("size")).alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
+        own = F.struct("near", ratio.alias("own"), F.col("key").alias("key"), F.col("part").alias("part"))
         centre = now.groupBy("band").agg(F.min(own).alias("c")).select("band", F.col("c.key").alias("other"), F.col("c.part").alias("other_part"))
         met = materialise(now.join(centre, "band"), "met")
-        if not found:
-            pivots = materialise(centre.select("band", F.col("other").alias("pivot")), "pivots")
         pairs = met.where("part <> other_part").select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
         edges = materialise(verified(pairs, sets), "edges")
         found.append(edges)
@@ -310,7 +321,8 @@ def alike(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, te
         rest = rest.select("band", "key", part.alias("part"), "size", "shared", (F.col("near") | (part == other_part)).alias("near"))
         before, now = now, materialise(live(rest, "part"), "candidates")
         discard(before, met)
-    out = verified(materialise(telling_pairs(now.join(pivots, "band").select("pivot", "key", "part").distinct(), sets), "pairs"), sets)
+    left = now.select("key", "part").distinct().join(members.select("key", "pivot"), "key")
+    out = verified(materialise(telling_pairs(left.select("pivot", "key", "part"), sets), "pairs"), sets)
     for edges in found:
         out = out.unionByName(edges)
     return out
