@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import release, slices, table, texts
 
 TRAIN_ROWS = 1200
 BATCH_TEXT = 2 << 20
@@ -168,7 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model
     labels_of = np.array([r.quality for r in found])
     rows = [(np.frombuffer(r.at, "<u4").astype(np.int32), np.frombuffer(r.value, "<f4")) for r in found]
     del found
-    return fit(rows, labels_of) if rows else None
+    model = fit(rows, labels_of) if rows else None
+    del rows
+    release()
+    return model
 
 
 def score_batch(rows: list[str], model: Model | None) -> dict[str, list]:

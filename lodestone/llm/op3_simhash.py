@@ -35,7 +35,7 @@ SMALL = 2 << 20
 #: The stage's link rule and its bands of minimal hashes.
 JACCARD, BANDS, ROWS = 0.8, 20, 4
 #: Rounds in which a band's texts are compared with one of them, and parts that a text's set is copied to.
-ROUNDS, SALTS = 2, 64
+ROUNDS, SALTS = 1, 64
 
 
 def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
