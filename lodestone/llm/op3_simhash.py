@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import op4_substring
-from .common import discard, materialise, slices, table, texts
+from .common import discard, in_tasks, materialise, slices, table, texts
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -110,7 +110,7 @@ def links(nodes: DataFrame, name: str = "links") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part[of]), pa.array(home)], ["anchor", "fp", "home"])
 
     spread = nodes.select("fp").mapInArrow(run, "anchor bigint, fp bigint, home boolean")
-    homes = spread.where("home").select("anchor", F.col("fp").alias("u"))
+    homes = in_tasks(spread.where("home").select("anchor", F.col("fp").alias("u")))
     visits = spread.where("not home").select("anchor", F.col("fp").alias("v"))
     return homes.join(visits, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS)).select("u", "v")
 

@@ -62,6 +62,24 @@ def test_links_complete(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
 
 
+def written(df, folder):
+    df.write.parquet(str(folder))
+    return df.sparkSession.read.parquet(str(folder))
+
+
+def final_plan(df):
+    """The plan that ran, once df has been collected."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_not_broadcast(spark, tmp_path):
+    """What comes from a small file of fingerprints is some 33 times as many rows, which must not meet on the driver."""
+    nodes = written(spark.range(300).selectExpr("xxhash64(id) as fp").union(spark.range(4).selectExpr("7 * id as fp")), tmp_path / "nodes")
+    links = op3_simhash.links(nodes)
+    assert {(r.u, r.v) for r in links.collect()} == {(a, b) for a in (0, 7, 14, 21) for b in (0, 7, 14, 21) if a < b and (a ^ b).bit_count() <= 2}
+    assert "Broadcast" not in final_plan(links)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(70)] + [(100, 101), (102, 101), (200, 200)] + [(300, 300 + i) for i in range(1, 40)]
     random.Random(1).shuffle(chain)
