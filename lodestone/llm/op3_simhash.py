@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
     copies = salted.select("other", "salt").distinct().join(sets.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")
-    met = salted.join(sets.select("key", "words"), "key").join(copies, ["other", "salt"]).select("u", "v", "words", "other_words")
+    met = in_tasks(salted).join(sets.select("key", "words"), "key").join(copies, ["other", "salt"]).select("u", "v", "words", "other_words")
     return met.mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
@@ -268,7 +268,7 @@ def telling_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     left = rows.where("first").select("pivot", "h", "key", "part", "size", "d", "place")
     right = rows.where("apart").select("pivot", "h", *(F.col(c).alias(f"other_{c}") for c in ("part", "size", "d")), F.col("key").alias("other"))
     needed = (F.col("d") + F.col("other_d") - ratio * (F.col("size") + F.col("other_size"))) / 2 - 1e-9
-    pairs = left.join(right, ["pivot", "h"]).where((F.col("part") != F.col("other_part")) & (F.col("d") - F.col("place") >= needed))
+    pairs = in_tasks(left).join(right, ["pivot", "h"]).where((F.col("part") != F.col("other_part")) & (F.col("d") - F.col("place") >= needed))
     return pairs.select("key", "other", F.least("part", "other_part").alias("u"), F.greatest("part", "other_part").alias("v")).distinct()
 
 

@@ -80,6 +80,24 @@ def test_links_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in final_plan(links)
 
 
+def test_pairs_are_not_broadcast(spark, tmp_path):
+    """Pairs and differences are columns of few values, so their files are far smaller than they are."""
+    words = [np.array([*range(100), 1000 + i // 2], "<u4") for i in range(6)]
+    sets = written(spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(words)], "key bigint, words binary"), tmp_path / "sets")
+    pairs = written(spark.createDataFrame([(i, 0, 0, i) for i in range(1, 6)], "key bigint, other bigint, u bigint, v bigint"), tmp_path / "pairs")
+    met = op3_simhash.verified(pairs, sets)
+    assert {(r.u, r.v) for r in met.collect()} == {(0, i) for i in range(1, 6)}
+    joins = re.findall(r"(\w+Join) \[key#", final_plan(met))
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+    apart = [np.array([*range(60), *range(1000 * k, 1000 * k + 40)], "<u4") for k in (1, 2, 2, 3)]
+    sets = written(spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(apart)], "key bigint, words binary"), tmp_path / "apart")
+    members = spark.createDataFrame([(0, i, i) for i in range(1, 4)], "pivot bigint, key bigint, part bigint")
+    telling = op3_simhash.telling_pairs(members, sets)
+    assert {frozenset((r.key, r.other)) for r in telling.collect()} == {frozenset((1, 2))}
+    assert "Broadcast" not in final_plan(telling)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(70)] + [(100, 101), (102, 101), (200, 200)] + [(300, 300 + i) for i in range(1, 40)]
     random.Random(1).shuffle(chain)
